@@ -14,7 +14,7 @@ from wickmill.session import configure
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("rollups",)
+MODULES = ("rollups", "coverage", "assets", "events", "ledgers")
 
 
 @dataclass(frozen=True)

@@ -61,9 +61,18 @@ def _is(variant: Column | str, path: str, prefix: str) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_variant_get(variant, path, "variant")).startswith(prefix), F.lit(False))
 
 
+def _computed_once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns in a step that later filters are not pushed through.
+
+    A filter pushed below a projection repeats the projected expressions; over parsed JSON that means
+    parsing a message once per mention. A generator of exactly one row stops the push.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def with_payload(messages: DataFrame) -> DataFrame:
     """Parse ``value`` once and add ``_msg`` (the unwrapped payload) and ``kind``."""
-    parsed = messages.withColumn("_json", F.try_parse_json("value"))
+    parsed = _computed_once(messages, F.try_parse_json("value").alias("_json"))
     wrapped = _has("_json", "$.data") & _has("_json", "$.stream")
     unwrapped = parsed.withColumn(
         "_msg", F.when(wrapped, F.try_variant_get("_json", "$.data", "variant")).otherwise(F.col("_json"))
@@ -86,15 +95,13 @@ def parse_klines(messages: DataFrame, received_at: Column | None = None, source:
     ``kind`` becomes ``malformed`` when a required field is missing, unreadable or breaks an invariant;
     control messages have neither event nor reason. Other input columns are kept.
     """
-    passthrough = [c for c in messages.columns if c != "value"]
+    kept = messages.columns
     symbol = F.coalesce(
         F.nullif(F.try_variant_get("_msg", "$.s", "string"), F.lit("")), F.try_variant_get("_msg", "$.k.s", "string")
     )
     closed = F.when(_is("_msg", "$.k.x", "BOOLEAN"), F.try_variant_get("_msg", "$.k.x", "boolean"))
-    fields = with_payload(messages).select(
-        *passthrough,
-        "value",
-        "kind",
+    fields = _computed_once(
+        with_payload(messages),
         normalize_symbol(symbol).alias("symbol"),
         F.coalesce(F.try_variant_get("_msg", "$.k.i", "string"), F.lit(DEFAULT_INTERVAL)).alias("interval"),
         *[F.try_variant_get("_msg", f"$.k.{key}", kind).alias(name) for name, key, kind in REQUIRED_FIELDS],
@@ -103,8 +110,7 @@ def parse_klines(messages: DataFrame, received_at: Column | None = None, source:
         from_epoch_ms(F.try_variant_get("_msg", "$.E", "bigint")).alias("event_time"),
     )
     events = fields.select(
-        *passthrough,
-        "value",
+        *kept,
         "kind",
         *[c for c in fields.columns if c in EVENT.fieldNames()],
         from_epoch_ms("_start_ms").alias("timestamp"),
@@ -117,7 +123,7 @@ def parse_klines(messages: DataFrame, received_at: Column | None = None, source:
     )
     judged = events.withColumn("reject_reason", reason)
     kind = F.when(F.col("reject_reason").isNotNull(), MALFORMED).otherwise(F.col("kind"))
-    return judged.select(*passthrough, "value", kind.alias("kind"), "reject_reason", *EVENT.fieldNames())
+    return judged.select(*kept, kind.alias("kind"), "reject_reason", *EVENT.fieldNames())
 
 
 def good_events(parsed: DataFrame) -> DataFrame:
