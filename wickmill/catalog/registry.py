@@ -14,7 +14,7 @@ from wickmill.session import configure
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("rollups", "coverage", "assets", "events", "ledgers")
+MODULES = ("rollups", "coverage", "writes", "events", "assets", "ledgers", "reads", "series", "streams")
 
 
 @dataclass(frozen=True)
