@@ -170,7 +170,7 @@ def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(band(1, 2), v - 0.75).otherwise(v + 1).alias("high"),
         F.when(band(0, 1), -v).otherwise(v - 0.5).alias("low"),
         F.when(band(4, 5), v + 2).otherwise(v).alias("close"),
-        F.when(band(3, 4), F.lit(-1.0)).otherwise(v * 2).alias("volume"),
+        F.when(band(3, 4), F.lit(-1.0)).otherwise(F.floor(v).cast("double")).alias("volume"),
         F.when(band(7, 8), F.lit(-1.0)).otherwise(v * 3).alias("quote_volume"),
         F.col("event_id").alias("trade_count"),
         F.lit(None).cast("double").alias("taker_buy_base_volume"),
@@ -190,7 +190,7 @@ FEED_EVENTS = f"""
                CASE WHEN value >= 1 AND value < 2 THEN value - 0.75 ELSE value + 1 END AS high,
                CASE WHEN value >= 0 AND value < 1 THEN -value ELSE value - 0.5 END AS low,
                CASE WHEN value >= 4 AND value < 5 THEN value + 2 ELSE value END AS close,
-               CASE WHEN value >= 3 AND value < 4 THEN -1.0 ELSE value * 2 END AS volume,
+               CASE WHEN value >= 3 AND value < 4 THEN -1.0 ELSE floor(value) END AS volume,
                CASE WHEN value >= 7 AND value < 8 THEN -1.0 ELSE value * 3 END AS quote_volume,
                event_id AS trade_count, NOT (value >= 5 AND value < 6) AS is_closed, ts AS event_time
         FROM events"""
@@ -227,14 +227,14 @@ def feed_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
         (v + 1).alias("high"),
         (v / 2).alias("low"),
         v.alias("close"),
-        (v * 2).alias("volume"),
+        F.floor(v).cast("double").alias("volume"),
         F.col("event_id").alias("arrival_seq"),
     )
 
 
 FEED_CANDLES = """
         SELECT CAST(user_id AS INTEGER) AS asset_id, date_trunc('minute', ts) AS "timestamp", value AS open,
-               value + 1 AS high, value / 2 AS low, value AS close, value * 2 AS volume, event_id AS arrival_seq
+               value + 1 AS high, value / 2 AS low, value AS close, floor(value) AS volume, event_id AS arrival_seq
         FROM events"""
 
 # The live feed starts on this day; the repair feed ends on the other, so ten days come from both.

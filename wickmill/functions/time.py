@@ -55,8 +55,9 @@ def day_of(ts: Column | str) -> Column:
 
 
 def chunk_of(ts: Column | str, seconds: int = DAY_SECONDS) -> Column:
-    """Number of the epoch-aligned slice holding ``ts``."""
-    return F.floor(F.unix_seconds(_col(ts)) / F.lit(seconds)).cast("bigint")
+    """Epoch second at which the epoch-aligned slice holding ``ts`` begins."""
+    secs = F.unix_seconds(_col(ts))
+    return secs - F.pmod(secs, F.lit(seconds).cast("bigint"))
 
 
 def span_days(start: Column | str, end: Column | str) -> Column:

@@ -47,9 +47,9 @@ def _merge_points(
         .groupBy(*keys, CHUNK, "_run")
         .agg(F.min(time).alias(START), F.max(time).alias(END), F.count("*").alias("candles"))
     )
-    chunk_micros, reach = DAY_SECONDS * 1_000_000, reach_seconds * 1_000_000
-    into_chunk = F.unix_micros(START) - F.col(CHUNK) * chunk_micros
-    to_chunk_end = (F.col(CHUNK) + 1) * chunk_micros - F.unix_micros(END)
+    reach = reach_seconds * 1_000_000
+    into_chunk = F.unix_micros(START) - F.col(CHUNK) * 1_000_000
+    to_chunk_end = (F.col(CHUNK) + DAY_SECONDS) * 1_000_000 - F.unix_micros(END)
 
     def starts_new(group):
         step = F.unix_micros(START) - F.unix_micros(F.lag(END).over(group))
@@ -85,10 +85,14 @@ def coverage_ranges(
     return _merge_points(candles, keys, time, margin_seconds, lambda micros: micros <= margin)
 
 
+def _folded(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One range per start. Copies are combined map-side, so they never meet in one day's group."""
+    return ranges.groupBy(*keys, START).agg(F.max(END).alias(END))
+
+
 def merge_ranges(ranges: DataFrame, keys: Sequence[str] = KEYS, margin_seconds: int = MARGIN_SECONDS) -> DataFrame:
     """Smallest set of ranges covering the input; overlapping and touching ranges become one."""
-    # Copies and nested ranges with the same start fold before the rows are shuffled by day.
-    folded = with_time_chunk(ranges.groupBy(*keys, START).agg(F.max(END).alias(END)), START)
+    folded = with_time_chunk(_folded(ranges, keys), START)
     window = Window.partitionBy(*keys, CHUNK).orderBy(START)
 
     def opens(previous_end: Column) -> Column:
@@ -172,11 +176,21 @@ def overlap_audit(ranges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return with_previous_end(folded, keys).where(overlaps | (F.col("copies") > 1))
 
 
-def inner_gaps(merged: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Uncovered stretches between consecutive merged ranges."""
+def inner_gaps(
+    ranges: DataFrame,
+    keys: Sequence[str] = KEYS,
+    margin_seconds: int = MARGIN_SECONDS,
+    distinct_starts: bool = False,
+) -> DataFrame:
+    """Uncovered stretches between the first and last covered time of each key.
+
+    A range opens a stretch when it starts beyond the margin after every earlier end, so the running
+    maximum of ends is enough: the ranges need not be merged first.
+    """
+    rows = ranges.select(*keys, START, END) if distinct_starts else _folded(ranges, keys)
     return (
-        with_previous_end(merged.select(*keys, START, END), keys)
-        .where(F.col("previous_end").isNotNull())
+        with_previous_end(rows, keys)
+        .where(F.col(START) > shift("previous_end", margin_seconds))
         .select(*keys, F.col("previous_end").alias("gap_start"), F.col(START).alias("gap_end"))
     )
 
@@ -187,19 +201,19 @@ def coverage_gaps(
     keys: Sequence[str] = KEYS,
     request_start: str = "request_start",
     request_end: str = "request_end",
-    merged: bool = False,
+    distinct_starts: bool = False,
 ) -> DataFrame:
     """Uncovered stretches of every request, for all keys at once.
 
     Stretches ahead of and behind a key's coverage come from its first and last covered time; those
-    in between from a join of inner gaps and requests that share a day. Pass ``merged=True`` when
-    ``ranges`` is already the output of :func:`merge_ranges` or :func:`coverage_ranges`.
+    in between from a join of inner gaps and requests that share a day. Ranges one minute apart count
+    as joined. ``distinct_starts=True`` says that no two ranges of a key start together (stored
+    candles, merged ranges), which saves an exchange.
     """
-    covered = ranges.select(*keys, START, END) if merged else merge_ranges(ranges, keys)
     wanted = requests.where(F.col(request_start) < F.col(request_end))
     qs, qe = F.col(request_start), F.col(request_end)
 
-    extent = covered.groupBy(*keys).agg(F.min(START).alias("_first"), F.max(END).alias("_last"))
+    extent = ranges.groupBy(*keys).agg(F.min(START).alias("_first"), F.max(END).alias("_last"))
     outer = F.array(
         F.struct(qs.alias("gap_start"), F.least(F.col("_first"), qe).alias("gap_end")),
         F.struct(F.greatest(F.col("_last"), qs).alias("gap_start"), qe.alias("gap_end")),
@@ -213,7 +227,7 @@ def coverage_gaps(
     between = (
         overlapping_pairs(
             wanted,
-            inner_gaps(covered, keys),
+            inner_gaps(ranges, keys, distinct_starts=distinct_starts),
             keys,
             left_span=(request_start, request_end),
             right_span=("gap_start", "gap_end"),

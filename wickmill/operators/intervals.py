@@ -19,7 +19,7 @@ BIN = "_bin"
 
 def _spread(df: DataFrame, start: str, end: str, seconds: int) -> DataFrame:
     """One copy of each row per bin its closed span touches."""
-    return df.withColumn(BIN, F.explode(F.sequence(chunk_of(start, seconds), chunk_of(end, seconds))))
+    return df.withColumn(BIN, F.explode(F.sequence(chunk_of(start, seconds), chunk_of(end, seconds), F.lit(seconds).cast("bigint"))))
 
 
 def overlapping_pairs(

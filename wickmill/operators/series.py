@@ -88,8 +88,8 @@ def growth_rate(samples: DataFrame, window_seconds: int = GROWTH_WINDOW_SECONDS)
     Null where the window holds a single sample.
     """
     own = chunk_of("ts", SLICE_SECONDS)
-    to_end = (own + 1) * SLICE_SECONDS * 1_000_000 - F.unix_micros("ts")
-    slices = F.when(to_end <= window_seconds * 1_000_000, F.array(own, own + 1)).otherwise(F.array(own))
+    to_end = (own + SLICE_SECONDS) * 1_000_000 - F.unix_micros("ts")
+    slices = F.when(to_end <= window_seconds * 1_000_000, F.array(own, own + SLICE_SECONDS)).otherwise(F.array(own))
     sliced = samples.withColumn(CHUNK, F.explode(slices))
     trailing = (
         Window.partitionBy("metric", CHUNK)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickmill.functions.time import shift
-from wickmill.operators.coverage import MARGIN_SECONDS, coverage_gaps, coverage_ranges
+from wickmill.operators.coverage import END, MARGIN_SECONDS, START, coverage_gaps
 from wickmill.operators.dedup import dedup_first, split_by_age
 from wickmill.operators.intervals import points_in_windows
 from wickmill.operators.ledger import schedule_repairs
@@ -44,7 +44,9 @@ def scan_gaps(held: DataFrame, assets: DataFrame, as_of: datetime, lookback: tim
         F.lit(start).alias("request_start"),
         F.lit(end).alias("request_end"),
     )
-    gaps = coverage_gaps(coverage_ranges(near), requests, merged=True)
+    # Every stored candle is a range of its own; candles at most a minute apart leave no gap.
+    covered = near.select("asset_id", F.col("timestamp").alias(START), F.col("timestamp").alias(END))
+    gaps = coverage_gaps(covered, requests)
     return gaps.select(
         "asset_id", "symbol", F.col("gap_start").alias("start_time"), F.col("gap_end").alias("end_time")
     )
