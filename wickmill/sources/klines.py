@@ -1,7 +1,8 @@
 """Landed kline messages (JSON text) to normalized events.
 
-Keys of a kline differ only by case (``t``/``T``, ``v``/``V``, ``q``/``Q``, ``l``/``L``), so fields are
-read from a variant, whose paths are case-sensitive, rather than with a case-insensitive struct.
+Keys of a kline differ only by case (``t``/``T``, ``v``/``V``, ``q``/``Q``). The JSON reader keeps them
+apart, but a column reference would not, so each parsed struct is cast at once, by position, to
+distinct names. Numbers are read as text and converted with ``try_cast``: a bad one becomes a null.
 """
 
 from __future__ import annotations
@@ -21,24 +22,37 @@ KLINE_EVENT = "kline"
 
 KLINE, CONTROL, MALFORMED = "kline", "control", "malformed"
 
-# Target column, field of the kline object, Spark type.
-REQUIRED_FIELDS = (
-    ("_start_ms", "t", "bigint"),
-    ("_close_ms", "T", "bigint"),
+# Fields of the event object and of its kline object. Name here, key in JSON, Spark type.
+EVENT_FIELDS = (("event", "e", "string"), ("event_ms", "E", "string"), ("pair", "s", "string"), ("kline", "k", "string"))
+KLINE_FIELDS = (
+    ("start_ms", "t", "bigint"),
+    ("close_ms", "T", "bigint"),
     ("open", "o", "double"),
     ("high", "h", "double"),
     ("low", "l", "double"),
     ("close", "c", "double"),
     ("volume", "v", "double"),
-)
-OPTIONAL_FIELDS = (
     ("quote_volume", "q", "double"),
     ("trade_count", "n", "bigint"),
     ("taker_buy_base_volume", "V", "double"),
     ("taker_buy_quote_volume", "Q", "double"),
+    ("is_closed", "x", "boolean"),
+    ("interval", "i", "string"),
+    ("pair", "s", "string"),
 )
 
 
+def _struct(fields, part: int, extra: str = "") -> str:
+    """Struct type with the names of this module (part 0) or the JSON keys (part 1), numbers as text."""
+    inner = ", ".join(f"{f[part]}: {'boolean' if f[2] == 'boolean' else 'string'}" for f in fields)
+    return f"struct<{extra}{inner}>"
+
+
+def _message(part: int) -> str:
+    """An event object, or one wrapped as ``data`` next to ``stream``."""
+    return _struct(EVENT_FIELDS, part, f"bad: string, stream: string, data: {_struct(EVENT_FIELDS, part)}, ")
+
+
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """Landed messages, one JSON document per line."""
     return spark.read.text(path)
@@ -52,41 +66,46 @@ def stream_messages(spark: SparkSession, path: str, files_per_trigger: int | Non
     return reader.load(path)
 
 
-def _has(variant: Column | str, path: str) -> Column:
-    """The path exists, possibly with a JSON null."""
-    return F.try_variant_get(variant, path, "variant").isNotNull()
+def _computed_once(df: DataFrame, struct: Column) -> DataFrame:
+    """Add the fields of a struct as columns, in a step that later filters are not pushed through.
 
+    A filter pushed below a projection repeats the projected expressions; over parsed JSON that means
+    parsing a message once per mention. A generator of exactly one row stops the push.
+    """
+    return df.select("*", F.inline(F.array(struct)))
 
-def _is(variant: Column | str, path: str, prefix: str) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_variant_get(variant, path, "variant")).startswith(prefix), F.lit(False))
 
+def _is_object(text: Column | str) -> Column:
+    bare = F.trim(F.col(text) if isinstance(text, str) else text, F.lit(" \t\r\n"))
+    return F.coalesce(bare.startswith("{") & bare.endswith("}"), F.lit(False))
 
-def _computed_once(df: DataFrame, *columns: Column) -> DataFrame:
-    """Add columns in a step that later filters are not pushed through.
 
-    A filter pushed below a projection repeats the projected expressions; over parsed JSON that means
-    parsing a message once per mention. A generator of exactly one row stops the push.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*columns))))
+def _has_key(key: str) -> Column:
+    """The message has this top-level key, possibly with a JSON null. Exact, but parses the text again:
+    the substring test ahead of it keeps that away from ordinary klines."""
+    found = F.try_variant_get(F.try_parse_json("value"), f"$.{key}", "variant").isNotNull()
+    return F.col("value").contains(f'"{key}"') & found
 
 
 def with_payload(messages: DataFrame) -> DataFrame:
-    """Parse ``value`` once and add ``_msg`` (the unwrapped payload) and ``kind``."""
-    parsed = _computed_once(messages, F.try_parse_json("value").alias("_json"))
-    wrapped = _has("_json", "$.data") & _has("_json", "$.stream")
-    unwrapped = parsed.withColumn(
-        "_msg", F.when(wrapped, F.try_variant_get("_json", "$.data", "variant")).otherwise(F.col("_json"))
+    """Parse ``value`` and add the event object's fields and ``kind``."""
+    parsed = F.from_json("value", _message(1), {"columnNameOfCorruptRecord": "bad"}).cast(_message(0))
+    read = _computed_once(messages, parsed.alias("m"))
+    wrapped = F.col("stream").isNotNull() & F.col("data").isNotNull()
+    names = [f[0] for f in EVENT_FIELDS]
+    event = F.when(wrapped, F.col("data")).otherwise(F.struct(*names))
+    unwrapped = read.select(*messages.columns, "bad", event.alias("_event")).select(
+        *messages.columns, "bad", *[F.col(f"_event.{name}").alias(name) for name in names]
     )
-    event_type = F.try_variant_get("_msg", "$.e", "string")
     kind = (
-        F.when(~_is("_json", "$", "OBJECT"), MALFORMED)
-        .when(_has("_json", "$.result") & _has("_json", "$.id"), CONTROL)
-        .when(_has("_json", "$.error"), MALFORMED)
-        .when(~F.coalesce(event_type == KLINE_EVENT, F.lit(False)), CONTROL)
-        .when(~_is("_msg", "$.k", "OBJECT"), MALFORMED)
+        F.when(F.col("bad").isNotNull() | ~_is_object("value"), MALFORMED)
+        .when(_has_key("result") & _has_key("id"), CONTROL)
+        .when(_has_key("error"), MALFORMED)
+        .when(~F.coalesce(F.col("event") == KLINE_EVENT, F.lit(False)), CONTROL)
+        .when(~_is_object("kline"), MALFORMED)
         .otherwise(KLINE)
     )
-    return unwrapped.withColumn("kind", kind)
+    return unwrapped.withColumn("kind", kind).drop("bad")
 
 
 def parse_klines(messages: DataFrame, received_at: Column | None = None, source: str = DEFAULT_SOURCE) -> DataFrame:
@@ -96,26 +115,23 @@ def parse_klines(messages: DataFrame, received_at: Column | None = None, source:
     control messages have neither event nor reason. Other input columns are kept.
     """
     kept = messages.columns
-    symbol = F.coalesce(
-        F.nullif(F.try_variant_get("_msg", "$.s", "string"), F.lit("")), F.try_variant_get("_msg", "$.k.s", "string")
-    )
-    closed = F.when(_is("_msg", "$.k.x", "BOOLEAN"), F.try_variant_get("_msg", "$.k.x", "boolean"))
-    fields = _computed_once(
-        with_payload(messages),
-        normalize_symbol(symbol).alias("symbol"),
-        F.coalesce(F.try_variant_get("_msg", "$.k.i", "string"), F.lit(DEFAULT_INTERVAL)).alias("interval"),
-        *[F.try_variant_get("_msg", f"$.k.{key}", kind).alias(name) for name, key, kind in REQUIRED_FIELDS],
-        *[F.try_variant_get("_msg", f"$.k.{key}", kind).alias(name) for name, key, kind in OPTIONAL_FIELDS],
-        closed.alias("is_closed"),
-        from_epoch_ms(F.try_variant_get("_msg", "$.E", "bigint")).alias("event_time"),
+    payload = with_payload(messages).select(
+        *kept, "kind", "event_ms", F.col("pair").alias("outer_pair"), F.col("kline")
     )
+    kline = F.from_json("kline", _struct(KLINE_FIELDS, 1)).cast(_struct(KLINE_FIELDS, 0))
+    fields = _computed_once(payload, kline)
+    numbers = {f[0]: F.col(f[0]).try_cast(f[2]) for f in KLINE_FIELDS if f[2] in ("bigint", "double")}
     events = fields.select(
         *kept,
         "kind",
-        *[c for c in fields.columns if c in EVENT.fieldNames()],
-        from_epoch_ms("_start_ms").alias("timestamp"),
-        from_epoch_ms("_close_ms").alias("close_time"),
+        normalize_symbol(F.coalesce(F.nullif("outer_pair", F.lit("")), F.col("pair"))).alias("symbol"),
+        F.coalesce("interval", F.lit(DEFAULT_INTERVAL)).alias("interval"),
+        from_epoch_ms(numbers.pop("start_ms")).alias("timestamp"),
+        from_epoch_ms(numbers.pop("close_ms")).alias("close_time"),
+        *[number.alias(name) for name, number in numbers.items()],
+        "is_closed",
         F.lit(source).alias("source"),
+        from_epoch_ms(F.col("event_ms").try_cast("bigint")).alias("event_time"),
         (F.current_timestamp() if received_at is None else received_at).alias("received_at"),
     )
     reason = F.when(F.col("kind") == MALFORMED, "not_a_kline").when(
