@@ -15,6 +15,7 @@ def local_session():
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
+            "spark.sql.maxMetadataStringLength": "4000",
             "spark.driver.memory": "8g",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
             "spark.ui.showConsoleProgress": "false",
