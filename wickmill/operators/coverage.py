@@ -33,20 +33,24 @@ END = "end_timestamp"
 KEYS = ("asset_id",)
 
 
-def _merge_points(
-    candles: DataFrame, keys: Sequence[str], time: str, reach_seconds: int, joins: Callable[[Column], Column]
-) -> DataFrame:
-    """Runs of candles where ``joins(micros since the previous candle)`` holds."""
+def _pieces(candles: DataFrame, keys: Sequence[str], time: str, joins: Callable[[Column], Column]) -> DataFrame:
+    """Runs of candles where ``joins(micros since the previous candle)`` holds, cut at midnight."""
     chunked = with_time_chunk(candles.select(*keys, time), time)
     window = Window.partitionBy(*keys, CHUNK).orderBy(time)
     micros = F.unix_micros(time)
     joined = F.coalesce(joins(micros - F.lag(micros).over(window)), F.lit(False))
-    pieces = (
+    return (
         chunked.withColumn("_new", F.when(joined, 0).otherwise(1))
         .withColumn("_run", F.sum("_new").over(up_to(window)))
         .groupBy(*keys, CHUNK, "_run")
         .agg(F.min(time).alias(START), F.max(time).alias(END), F.count("*").alias("candles"))
     )
+
+
+def _merge_points(
+    candles: DataFrame, keys: Sequence[str], time: str, reach_seconds: int, joins: Callable[[Column], Column]
+) -> DataFrame:
+    """The runs of :func:`_pieces`, joined across midnight."""
     reach = reach_seconds * 1_000_000
     into_chunk = F.unix_micros(START) - F.col(CHUNK) * 1_000_000
     to_chunk_end = (F.col(CHUNK) + DAY_SECONDS) * 1_000_000 - F.unix_micros(END)
@@ -56,7 +60,7 @@ def _merge_points(
         return ~F.coalesce(joins(step), F.lit(False))
 
     return join_across_chunks(
-        pieces,
+        _pieces(candles, keys, time, joins),
         keys,
         START,
         END,
@@ -85,6 +89,14 @@ def coverage_ranges(
     return _merge_points(candles, keys, time, margin_seconds, lambda micros: micros <= margin)
 
 
+def day_ranges(
+    candles: DataFrame, keys: Sequence[str] = KEYS, time: str = "timestamp", margin_seconds: int = MARGIN_SECONDS
+) -> DataFrame:
+    """Covered ranges cut at midnight: what a table of coverage stores per day. Copies are harmless."""
+    margin = margin_seconds * 1_000_000
+    return _pieces(candles, keys, time, lambda micros: micros <= margin).select(*keys, START, END)
+
+
 def _folded(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One range per start. Copies are combined map-side, so they never meet in one day's group."""
     return ranges.groupBy(*keys, START).agg(F.max(END).alias(END))

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickmill.operators.coverage import coverage_ranges, merge_ranges
+from wickmill.operators.coverage import day_ranges, merge_ranges
 from wickmill.operators.dedup import merge_union
 from wickmill.operators.rollup import all_tiers, touched_days
 from wickmill.schemas import RANGE
@@ -88,11 +88,11 @@ def refresh_coverage(spark: SparkSession, root: str, days: Sequence[date]) -> No
     held = read_candles(spark, base_path(root), days=days).unionByName(
         read_candles(spark, staging_path(root), days=days)
     )
-    keys = held.select("asset_id", "timestamp").distinct()
-    by_day = coverage_ranges(keys.withColumn("day", F.to_date("timestamp")), keys=("asset_id", "day"))
     (
-        by_day.select("asset_id", "start_timestamp", "end_timestamp", "day")
-        .repartitionByRange("day", "asset_id")
+        day_ranges(held)
+        .withColumn("day", F.to_date("start_timestamp"))
+        .hint("rebalance", "day")
+        .sortWithinPartitions("day", "asset_id", "start_timestamp")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickmill.functions.checks import event_reject_reason
+from wickmill.functions.once import computed_once
 from wickmill.functions.symbols import normalize_symbol
 from wickmill.functions.time import from_epoch_ms
 from wickmill.schemas import EVENT
@@ -66,15 +67,6 @@ def stream_messages(spark: SparkSession, path: str, files_per_trigger: int | Non
     return reader.load(path)
 
 
-def _computed_once(df: DataFrame, struct: Column) -> DataFrame:
-    """Add the fields of a struct as columns, in a step that later filters are not pushed through.
-
-    A filter pushed below a projection repeats the projected expressions; over parsed JSON that means
-    parsing a message once per mention. A generator of exactly one row stops the push.
-    """
-    return df.select("*", F.inline(F.array(struct)))
-
-
 def _is_object(text: Column | str) -> Column:
     bare = F.trim(F.col(text) if isinstance(text, str) else text, F.lit(" \t\r\n"))
     return F.coalesce(bare.startswith("{") & bare.endswith("}"), F.lit(False))
@@ -90,7 +82,7 @@ def _has_key(key: str) -> Column:
 def with_payload(messages: DataFrame) -> DataFrame:
     """Parse ``value`` and add the event object's fields and ``kind``."""
     parsed = F.from_json("value", _message(1), {"columnNameOfCorruptRecord": "bad"}).cast(_message(0))
-    read = _computed_once(messages, parsed.alias("m"))
+    read = computed_once(messages, messages.columns, parsed)
     wrapped = F.col("stream").isNotNull() & F.col("data").isNotNull()
     names = [f[0] for f in EVENT_FIELDS]
     event = F.when(wrapped, F.col("data")).otherwise(F.struct(*names))
@@ -119,19 +111,20 @@ def parse_klines(messages: DataFrame, received_at: Column | None = None, source:
         *kept, "kind", "event_ms", F.col("pair").alias("outer_pair"), F.col("kline")
     )
     kline = F.from_json("kline", _struct(KLINE_FIELDS, 1)).cast(_struct(KLINE_FIELDS, 0))
-    fields = _computed_once(payload, kline)
+    fields = computed_once(payload, payload.columns, kline)
     numbers = {f[0]: F.col(f[0]).try_cast(f[2]) for f in KLINE_FIELDS if f[2] in ("bigint", "double")}
-    events = fields.select(
-        *kept,
-        "kind",
+    typed = F.struct(
         normalize_symbol(F.coalesce(F.nullif("outer_pair", F.lit("")), F.col("pair"))).alias("symbol"),
         F.coalesce("interval", F.lit(DEFAULT_INTERVAL)).alias("interval"),
         from_epoch_ms(numbers.pop("start_ms")).alias("timestamp"),
         from_epoch_ms(numbers.pop("close_ms")).alias("close_time"),
         *[number.alias(name) for name, number in numbers.items()],
         "is_closed",
-        F.lit(source).alias("source"),
         from_epoch_ms(F.col("event_ms").try_cast("bigint")).alias("event_time"),
+    )
+    events = computed_once(fields, [*kept, "kind"], typed).select(
+        "*",
+        F.lit(source).alias("source"),
         (F.current_timestamp() if received_at is None else received_at).alias("received_at"),
     )
     reason = F.when(F.col("kind") == MALFORMED, "not_a_kline").when(

@@ -59,7 +59,7 @@ def export_requests(candles: DataFrame, requests: DataFrame, root: str, tier: st
     _with_millis(candles)
     try:
         (
-            rows.repartitionByRange(*layout, "timestamp")
+            rows.hint("rebalance", *layout)
             .sortWithinPartitions(*layout, "timestamp")
             .write.mode("overwrite")
             .option("compression", EXPORT_CODEC)

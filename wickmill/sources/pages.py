@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickmill.functions.checks import candle_reject_reason
+from wickmill.functions.once import computed_once
 from wickmill.functions.time import from_epoch_ms
 from wickmill.schemas import OHLCV
 
@@ -31,12 +32,13 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         F.col("_rows").isNull().alias("_unreadable"),
         F.posexplode_outer("_rows").alias("arrival_seq", "_k"),
     )
-    numbers = [F.expr("try_cast(get(_k, 0) AS bigint)").alias("_ms")] + [
-        F.expr(f"try_cast(get(_k, {i}) AS double)").alias(name) for i, name in enumerate(OHLCV, start=1)
-    ]
-    typed = exploded.select(*keep, "_unreadable", "arrival_seq", F.size("_k").alias("_size"), *numbers).withColumn(
-        "timestamp", from_epoch_ms("_ms")
+    elements = [F.get("_k", F.lit(i)) for i in range(MIN_ELEMENTS)]
+    cells = F.struct(
+        F.size("_k").alias("_size"),
+        from_epoch_ms(elements[0].try_cast("bigint")).alias("timestamp"),
+        *[cell.try_cast("double").alias(name) for name, cell in zip(OHLCV, elements[1:])],
     )
+    typed = computed_once(exploded, [*keep, "_unreadable", "arrival_seq"], cells)
     reason = F.coalesce(
         F.when(F.col("_unreadable"), "not_a_page"),
         F.when(F.coalesce(F.col("_size"), F.lit(-1)) < MIN_ELEMENTS, "short_kline"),

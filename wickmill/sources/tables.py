@@ -20,13 +20,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def clustered(candles: DataFrame, *leading: str) -> DataFrame:
-    """Rows range-partitioned by (day, asset, time), newest first within an asset.
+    """Rows gathered by day and sorted by asset, newest first within an asset.
 
-    Range bounds cut a large day or a hot asset into several tasks, where a hash of the day would put
-    all of it into one; the order makes row-group minima and maxima selective for one asset.
+    A rebalance lets adaptive execution cut a large day into several tasks and join small days into
+    one, so no task holds a whole hot day and no run writes many tiny files. The order inside a file
+    makes row-group minima and maxima selective for one asset.
     """
-    by = [*leading, "day", "asset_id", F.col("timestamp").desc()]
-    return candles.withColumn("day", day_of("timestamp")).repartitionByRange(*by).sortWithinPartitions(*by)
+    folders = [*leading, "day"]
+    rows = candles.withColumn("day", day_of("timestamp")).hint("rebalance", *folders)
+    return rows.sortWithinPartitions(*folders, "asset_id", F.col("timestamp").desc())
 
 
 def write_candles(candles: DataFrame, path: str, mode: str = "append") -> None:

@@ -20,6 +20,7 @@ from wickmill.operators.ingest import accepted, classify_events, ingest_audit, q
 from wickmill.plans.refresh import merge_staged, refresh_coverage, refresh_days
 from wickmill.plans.repair import write_by_age
 from wickmill.schemas import ASSET, EVENT
+from wickmill.session import configure
 from wickmill.sources.klines import good_events, parse_klines, rejected_messages
 
 # Flush interval and rows per flush of the live feed.
@@ -109,7 +110,9 @@ def start_live_ingest(
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        ingest_messages(batch.sparkSession, batch, target, batch_id, clock(), refresh=refresh)
+        # A stream's session has adaptive execution off. The stream itself keeps no state, so the batch
+        # jobs inside may use it: they rely on it for hot keys, hot days and file sizes.
+        ingest_messages(configure(batch.sparkSession), batch, target, batch_id, clock(), refresh=refresh)
 
     writer = messages.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     if available_now:
