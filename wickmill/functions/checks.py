@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,61 +11,63 @@ PRICE_EPSILON = 1e-9
 PRICE_COLUMNS = ("open", "high", "low", "close")
 OPTIONAL_VOLUMES = ("quote_volume", "taker_buy_base_volume", "taker_buy_quote_volume")
 
+Rule = tuple[str, str]
+
+
+def _finite(name: str) -> str:
+    """Ordinary numbers: neither NaN nor infinite, which would pass or fail comparisons by accident."""
+    return f"NOT isnan({name}) AND abs({name}) < double('Infinity')"
 
-def is_finite(c: Column | str) -> Column:
-    """True for ordinary numbers; false for NaN and both infinities, null for null."""
-    c = F.col(c) if isinstance(c, str) else c
-    return ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 
+def _any(template: str, names) -> str:
+    return " OR ".join(f"({template.format(name)})" for name in names)
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
 
+def _outside(name: str) -> str:
+    return f"{name} < low - {PRICE_EPSILON}D OR {name} > high + {PRICE_EPSILON}D"
 
-def _outside(name: str) -> Column:
-    price = F.col(name)
-    return (price < F.col("low") - PRICE_EPSILON) | (price > F.col("high") + PRICE_EPSILON)
 
+_OHLCV = (*PRICE_COLUMNS, "volume")
 
-def price_rules() -> list[tuple[str, Column]]:
-    """Reason code and failing condition, in the order they are tested."""
-    ohlcv = (*PRICE_COLUMNS, "volume")
-    return [
-        ("missing_number", _any([F.col(c).isNull() for c in ohlcv])),
-        ("not_finite", _any([~is_finite(c) for c in ohlcv])),
-        ("price_not_positive", _any([F.col(c) <= 0 for c in PRICE_COLUMNS])),
-        ("negative_volume", F.col("volume") < 0),
-        ("high_below_low", F.col("high") < F.col("low") - PRICE_EPSILON),
-        ("open_out_of_range", _outside("open")),
-        ("close_out_of_range", _outside("close")),
-    ]
+# Reason code and failing condition, in the order they are tested.
+PRICE_RULES: tuple[Rule, ...] = (
+    ("missing_number", _any("{0} IS NULL", _OHLCV)),
+    ("not_finite", " OR ".join(f"NOT ({_finite(name)})" for name in _OHLCV)),
+    ("price_not_positive", _any("{0} <= 0", PRICE_COLUMNS)),
+    ("negative_volume", "volume < 0"),
+    ("high_below_low", f"high < low - {PRICE_EPSILON}D"),
+    ("open_out_of_range", _outside("open")),
+    ("close_out_of_range", _outside("close")),
+)
 
+CANDLE_RULES: tuple[Rule, ...] = (("missing_time", "timestamp IS NULL"), *PRICE_RULES)
 
-def event_rules() -> list[tuple[str, Column]]:
-    """The rules of a normalized event: symbol, prices, optional volumes, times."""
-    bad_optional = [F.col(c).isNotNull() & (~is_finite(c) | (F.col(c) < 0)) for c in OPTIONAL_VOLUMES]
-    return [
-        ("blank_symbol", F.col("symbol").isNull() | (F.trim("symbol") == "")),
-        ("missing_time", F.col("timestamp").isNull() | F.col("close_time").isNull()),
-        *price_rules(),
-        ("bad_optional_volume", _any(bad_optional)),
-        ("close_before_start", F.col("close_time") < F.col("timestamp")),
-        ("missing_flag", F.col("is_closed").isNull()),
-    ]
+EVENT_RULES: tuple[Rule, ...] = (
+    ("blank_symbol", "symbol IS NULL OR trim(symbol) = ''"),
+    ("missing_time", "timestamp IS NULL OR close_time IS NULL"),
+    *PRICE_RULES,
+    (
+        "bad_optional_volume",
+        " OR ".join(f"({n} IS NOT NULL AND (NOT ({_finite(n)}) OR {n} < 0))" for n in OPTIONAL_VOLUMES),
+    ),
+    ("close_before_start", "close_time < timestamp"),
+    ("missing_flag", "is_closed IS NULL"),
+)
 
 
-def first_reason(rules: list[tuple[str, Column]]) -> Column:
+def first_reason(rules: tuple[Rule, ...]) -> Column:
     """Code of the first failing rule, null when all hold."""
-    return F.coalesce(*[F.when(cond, F.lit(code)) for code, cond in rules])
+    return F.expr("CASE " + " ".join(f"WHEN {condition} THEN '{code}'" for code, condition in rules) + " END")
 
 
 def event_reject_reason() -> Column:
-    return first_reason(event_rules())
+    """Reason for a normalized event: symbol, times, prices, optional volumes, closed flag."""
+    return first_reason(EVENT_RULES)
 
 
 def candle_reject_reason() -> Column:
-    """Reason for a bare candle row (time and prices)."""
-    return first_reason([("missing_time", F.col("timestamp").isNull()), *price_rules()])
+    """Reason for a bare candle row: time and prices."""
+    return first_reason(CANDLE_RULES)
 
 
 def ohlc_valid(closed: Column | None = None) -> Column:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickmill.functions.time import shift
+from wickmill.functions.time import day_of, shift
 from wickmill.operators.coverage import END, MARGIN_SECONDS, START, coverage_gaps
-from wickmill.operators.dedup import dedup_first, split_by_age
+from wickmill.operators.dedup import dedup_first, split_by_age, with_target
 from wickmill.operators.intervals import points_in_windows
 from wickmill.operators.ledger import schedule_repairs
 from wickmill.plans.refresh import base_path, merge_staged, refresh_coverage, refresh_days, staging_path
 from wickmill.schemas import CANDLE_COLUMNS
-from wickmill.sources.tables import insert_ignore, read_candles
+from wickmill.sources.tables import append_absent, read_candles
 from wickmill.timeframes import as_utc
 
 # Fixed value: how far back the scan looks.
@@ -72,11 +73,18 @@ class RepairResult:
 def write_by_age(spark: SparkSession, root: str, rows: DataFrame, as_of: datetime, arrival: str) -> RepairResult:
     """First-wins insert of recent rows into the base and of old rows into staging."""
     unique = dedup_first(rows.select(*CANDLE_COLUMNS, arrival), arrival=arrival).drop(arrival)
-    live, old = split_by_age(unique, as_of)
-    return RepairResult(
-        insert_ignore(spark, live, base_path(root)),
-        insert_ignore(spark, old, staging_path(root)),
-    )
+    # Read by up to three jobs; a lost cached block is computed again from its source.
+    unique = unique.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = with_target(unique, as_of).select("target", day_of("timestamp").alias("day")).distinct().collect()
+        base_days = sorted(row.day for row in found if row.target == "base")
+        staged_days = sorted(row.day for row in found if row.target == "staging")
+        live, old = split_by_age(unique, as_of)
+        append_absent(spark, live, base_path(root), base_days)
+        append_absent(spark, old, staging_path(root), staged_days)
+    finally:
+        unique.unpersist()
+    return RepairResult(base_days, staged_days)
 
 
 def repair_gaps(

@@ -39,7 +39,7 @@ def build_session(app_name: str = "wickmill", master: str | None = None, **extra
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.conf.get("spark.master", "local").startswith("local")
+    return spark.sparkContext.master.startswith("local")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -76,6 +76,13 @@ def days_in(candles: DataFrame) -> list[date]:
     return [row.day for row in candles.select(day_of("timestamp").alias("day")).distinct().collect()]
 
 
+def append_absent(spark: SparkSession, unique: DataFrame, path: str, days: Sequence[date]) -> None:
+    """Append the rows whose key is not stored. ``unique`` has one row per key, all of them in ``days``."""
+    if days:
+        stored = read_candles(spark, path, days=days)
+        write_candles(absent_rows(unique.select(*CANDLE_COLUMNS), stored), path)
+
+
 def insert_ignore(spark: SparkSession, new: DataFrame, path: str, arrival: str | None = None) -> list[date]:
     """Append the rows whose key is not stored; returns the days that were looked at.
 
@@ -84,9 +91,7 @@ def insert_ignore(spark: SparkSession, new: DataFrame, path: str, arrival: str |
     """
     unique = dedup_first(new, arrival=arrival).drop(arrival) if arrival else new
     days = days_in(new)
-    if days:
-        stored = read_candles(spark, path, days=days)
-        write_candles(absent_rows(unique.select(*CANDLE_COLUMNS), stored), path)
+    append_absent(spark, unique, path, days)
     return days
 
 
