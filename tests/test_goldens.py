@@ -15,7 +15,7 @@ from wickmill.operators import coverage as C
 from wickmill.operators.dedup import dedup_first
 from wickmill.operators.ingest import classify_events, ingest_audit, ordered_pages
 from wickmill.operators.rollup import rollup, rollup_cascade
-from wickmill.operators.series import ALERT_RULES, rules_table, sustained_alerts
+from wickmill.operators.series import sustained_alerts
 from wickmill.operators.shards import shard_sizes, symbols_of_shard, with_shard
 from wickmill.plans.backfill import page_plan
 from wickmill.sources.klines import final_events, good_events, parse_klines
@@ -265,7 +265,7 @@ def test_alert_rules(spark):
     samples = [("dlq_job_count", at(m), v) for m, v in enumerate([0, 3, 3, 3, 12, 12, 12, 12, 12, 12, 0, 5, 5])]
     samples += [("cagg_refresh_pending_jobs", at(m), 60.0) for m in range(50, 70)]
     df = spark.createDataFrame([(m, t, float(v)) for m, t, v in samples], "metric string, ts timestamp, value double")
-    got = sustained_alerts(df, rules_table(spark, ALERT_RULES))
+    got = sustained_alerts(df)
     assert minutes_of(got, "alert", "started_at", "ended_at", "samples") == [
         ("CaggRefreshQueueBuildup", 50, 69, 20),
         ("DeadLetterQueueCritical", 4, 9, 6),

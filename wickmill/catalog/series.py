@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wickmill.catalog import inputs as I
 from wickmill.catalog.registry import query
 from wickmill.operators.messages import message_report, message_totals
-from wickmill.operators.series import growth_rate, rules_table, sustained_alerts
+from wickmill.operators.series import growth_rate, sustained_alerts
 
 # Alert rules over the event series, in the shape of the fixed rules.
 _RULES = (
@@ -35,7 +35,7 @@ def samples(spark, sf_dir):
     """,
 )
 def sustained_alert(spark, sf_dir):
-    return sustained_alerts(samples(spark, sf_dir), rules_table(spark, _RULES))
+    return sustained_alerts(samples(spark, sf_dir), _RULES)
 
 
 @query(

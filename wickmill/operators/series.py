@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickmill.functions.time import chunk_of, seconds_between
@@ -20,15 +20,27 @@ ALERT_RULES = (
 )
 GROWTH_WINDOW_SECONDS = 300
 
-RULE_SCHEMA = "alert string, metric string, threshold double, for_minutes int"
 SLICE_SECONDS = 3600
 
 
-def rules_table(spark: SparkSession, rules: Sequence[tuple] = ALERT_RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), RULE_SCHEMA)
+def with_rules(samples: DataFrame, rules: Sequence[tuple] = ALERT_RULES) -> DataFrame:
+    """Each sample once per rule on its metric.
 
-
-def sustained_alerts(samples: DataFrame, rules: DataFrame) -> DataFrame:
+    The rules are a short fixed list, so they are written into the plan as one array per metric: no
+    join, and no exchange that would gather a busy metric.
+    """
+    of_metric = F.lit(None)
+    for metric in sorted({rule[1] for rule in rules}):
+        structs = [
+            F.struct(F.lit(alert).alias("alert"), F.lit(float(limit)).alias("threshold"), F.lit(int(minutes)).alias("for_minutes"))
+            for alert, name, limit, minutes in rules
+            if name == metric
+        ]
+        of_metric = F.when(F.col("metric") == metric, F.array(*structs)).otherwise(of_metric)
+    return samples.select("*", F.inline(of_metric))
+
+
+def sustained_alerts(samples: DataFrame, rules: Sequence[tuple] = ALERT_RULES) -> DataFrame:
     """Stretches of samples (metric, ts, value) above a rule's threshold for at least its minutes.
 
     Runs of equal state are cut per hour; the first and last run of an hour are then joined across
@@ -36,7 +48,7 @@ def sustained_alerts(samples: DataFrame, rules: DataFrame) -> DataFrame:
     """
     keys = ["alert", "metric"]
     state = (
-        samples.join(rules, "metric")
+        with_rules(samples, rules)
         .withColumn("holds", F.col("value") > F.col("threshold"))
         .withColumn(CHUNK, chunk_of("ts", SLICE_SECONDS))
     )
