@@ -59,12 +59,12 @@ def symbol_distinct(spark, sf_dir):
 
 @query(
     "normalize_symbol",
-    """SELECT c_custkey, upper(c_name) AS symbol, nullif(upper(trim(CASE WHEN c_acctbal <= 0 THEN '   ' END)), '') AS blank
+    """SELECT c_custkey, upper(c_name) AS symbol, CASE WHEN c_acctbal > 0 THEN 'AB' END AS blank
        FROM customer""",
 )
 def normalized_symbols(spark, sf_dir):
     padded = F.concat(F.lit(" \t"), F.lower("c_name"), F.lit(" \n"))
-    blank = F.when(F.col("c_acctbal") <= 0, "   ")
+    blank = F.when(F.col("c_acctbal") <= 0, "   ").otherwise(" ab ")
     return I.table(spark, sf_dir, "customer").select(
         "c_custkey", normalize_symbol(padded).alias("symbol"), normalize_symbol(blank).alias("blank")
     )

@@ -170,7 +170,7 @@ def range_scan(spark, sf_dir):
 @query(
     "coverage_report",
     f"""
-    SELECT q.*, count(c."timestamp") AS candles, 21600 AS expected, count(c."timestamp") / 21600 AS completeness
+    SELECT q.*, count(c."timestamp") AS candles, CAST(21600 AS BIGINT) AS expected, count(c."timestamp") / 21600 AS completeness
     FROM ({I.USER_REQUESTS}) q LEFT JOIN ({I.USER_CANDLES}) c
       ON c.asset_id = q.asset_id AND c."timestamp" >= request_start AND c."timestamp" < request_end
     GROUP BY ALL

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from wickmill.operators.coverage import day_ranges, merge_ranges
 from wickmill.operators.dedup import merge_union
 from wickmill.operators.rollup import all_tiers, touched_days
-from wickmill.schemas import RANGE
-from wickmill.sources.tables import _exists, clustered, drop_days, read_candles, stored_days, write_candles
+from wickmill.schemas import COVERAGE_STORED
+from wickmill.sources.tables import clustered, drop_days, read_candles, read_days, stored_days, write_candles
 from wickmill.timeframes import BASE_TIER, ROLLUP_TIERS, tier_path
 
 
@@ -44,9 +44,9 @@ def refresh_days(spark: SparkSession, root: str, days: Sequence[date]) -> None:
         .partitionBy("tier", "day")
         .parquet(root)
     )
-    emptied = [day for day in days if not _exists(spark, f"{base_path(root)}/day={day.isoformat()}")]
+    emptied = set(days).difference(stored_days(spark, base_path(root)))
     for tier in ROLLUP_TIERS:
-        drop_days(spark, tier_path(root, tier), emptied)
+        drop_days(spark, tier_path(root, tier), sorted(emptied))
 
 
 def days_of_windows(windows: DataFrame) -> list[date]:
@@ -98,21 +98,13 @@ def refresh_coverage(spark: SparkSession, root: str, days: Sequence[date]) -> No
         .partitionBy("day")
         .parquet(coverage_path(root))
     )
-    gone = [
-        day
-        for day in days
-        if not any(_exists(spark, f"{p}/day={day.isoformat()}") for p in (base_path(root), staging_path(root)))
-    ]
-    drop_days(spark, coverage_path(root), gone)
+    held_days = {*stored_days(spark, base_path(root)), *stored_days(spark, staging_path(root))}
+    drop_days(spark, coverage_path(root), sorted(set(days) - held_days))
 
 
 def read_coverage(spark: SparkSession, root: str, asset_id: int | None = None) -> DataFrame:
     """Covered ranges of every asset, or of one in start order."""
-    path = coverage_path(root)
-    if not _exists(spark, path):
-        return spark.createDataFrame([], RANGE)
-    pieces = spark.read.schema(RANGE).parquet(path)
+    pieces = read_days(spark, coverage_path(root), COVERAGE_STORED).drop("day")
     if asset_id is None:
         return merge_ranges(pieces)
     return merge_ranges(pieces.where(pieces.asset_id == asset_id)).orderBy("start_timestamp")
-

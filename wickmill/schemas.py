@@ -55,6 +55,8 @@ RANGE = T.StructType(
     ]
 )
 
+COVERAGE_STORED = T.StructType(RANGE.fields + [T.StructField("day", T.DateType(), True)])
+
 REPAIR_JOB = T.StructType(
     [
         T.StructField("id", T.LongType()),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wickmill.functions.time import day_of
 from wickmill.operators.dedup import absent_rows, dedup_first
@@ -14,9 +15,21 @@ from wickmill.schemas import CANDLE_COLUMNS, CANDLE_STORED
 from wickmill.timeframes import as_utc
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+DAY_PREFIX = "day="
+
+
+def _location(spark: SparkSession, path: str):
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
+
+
+def stored_days(spark: SparkSession, path: str) -> list[date]:
+    """Days present in a table, from the names of its folders: one directory listing, no scan."""
+    files, location = _location(spark, path)
+    if not files.exists(location):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(location) if status.isDirectory()]
+    return sorted(date.fromisoformat(n[len(DAY_PREFIX) :]) for n in names if n.startswith(DAY_PREFIX))
 
 
 def clustered(candles: DataFrame, *leading: str) -> DataFrame:
@@ -42,6 +55,20 @@ def write_candles(candles: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+def read_days(
+    spark: SparkSession, path: str, schema: StructType, wanted: Callable[[date], bool] | None = None
+) -> DataFrame:
+    """A day-partitioned table, listing only the files of the wanted days. A missing table is empty."""
+    present = stored_days(spark, path)
+    days = [day for day in present if wanted is None or wanted(day)]
+    if not days:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema).option("basePath", path)
+    if len(days) == len(present):
+        return reader.parquet(path)
+    return reader.parquet(*[f"{path}/{DAY_PREFIX}{day.isoformat()}" for day in days])
+
+
 def read_candles(
     spark: SparkSession,
     path: str,
@@ -52,20 +79,18 @@ def read_candles(
 ) -> DataFrame:
     """Scan with the filters that reach storage: day folders, then asset and time in the row groups.
 
-    A missing table reads as empty. ``[start, end)`` is half-open.
+    ``[start, end)`` is half-open.
     """
-    if not _exists(spark, path):
-        return spark.createDataFrame([], CANDLE_STORED).drop("day")
-    rows = spark.read.schema(CANDLE_STORED).parquet(path)
+    first = as_utc(start).date() if start is not None else date.min
+    last = (as_utc(end) - timedelta(microseconds=1)).date() if end is not None else date.max
+    chosen = None if days is None else set(days)
+    rows = read_days(
+        spark, path, CANDLE_STORED, lambda day: first <= day <= last and (chosen is None or day in chosen)
+    )
     if start is not None:
-        start = as_utc(start)
-        rows = rows.where((F.col("day") >= F.lit(start.date())) & (F.col("timestamp") >= F.lit(start)))
+        rows = rows.where((F.col("day") >= F.lit(first)) & (F.col("timestamp") >= F.lit(as_utc(start))))
     if end is not None:
-        end = as_utc(end)
-        last = (end - timedelta(microseconds=1)).date()
-        rows = rows.where((F.col("day") <= F.lit(last)) & (F.col("timestamp") < F.lit(end)))
-    if days is not None:
-        rows = rows.where(F.col("day").isin(*days)) if days else rows.where(F.lit(False))
+        rows = rows.where((F.col("day") <= F.lit(last)) & (F.col("timestamp") < F.lit(as_utc(end))))
     if asset_id is not None:
         rows = rows.where(F.col("asset_id") == asset_id)
     return rows.select(*CANDLE_COLUMNS)
@@ -95,16 +120,8 @@ def insert_ignore(spark: SparkSession, new: DataFrame, path: str, arrival: str |
     return days
 
 
-def stored_days(spark: SparkSession, path: str) -> list[date]:
-    """Days present in a table, from its folders."""
-    if not _exists(spark, path):
-        return []
-    days = spark.read.schema(CANDLE_STORED).parquet(path).select("day").distinct()
-    return sorted(row.day for row in days.collect())
-
-
 def drop_days(spark: SparkSession, path: str, days: Sequence[date]) -> None:
     """Remove day folders, for staging days that have been merged."""
     for day in days:
-        location = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day.isoformat()}")
-        location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+        files, location = _location(spark, f"{path}/{DAY_PREFIX}{day.isoformat()}")
+        files.delete(location, True)
