@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wickmill.catalog import inputs as I
 from wickmill.catalog.registry import query
-from wickmill.functions.time import day_start
+from wickmill.functions.time import day_start, floor_to
 from wickmill.operators import coverage as C
 from wickmill.operators.ingest import ordered_pages, page_order
 
@@ -186,8 +186,6 @@ _PAGE_ROWS = """
 
 
 def _page_rows(spark, sf_dir):
-    from wickmill.functions.time import floor_to
-
     return I.events(spark, sf_dir).select(
         F.col("event_type").alias("asset_id"),
         day_start("ts").alias("page_day"),

@@ -10,7 +10,6 @@ from wickmill.operators import dedup as D
 from wickmill.operators.rollup import touched_days
 from wickmill.plans.refresh import base_path, merge_staged, refresh_days, refresh_windows, staging_path
 from wickmill.plans.repair import write_by_age
-from wickmill.schemas import CANDLE_COLUMNS, OHLCV
 from wickmill.session import scratch_dir
 from wickmill.sources.tables import insert_ignore, read_candles, stored_days, write_candles
 from wickmill.timeframes import ROLLUP_TIERS, tier_path
@@ -213,6 +212,3 @@ def touched_recompute(spark, sf_dir):
     insert_ignore(spark, I.repair_feed(spark, sf_dir), staging_path(root), arrival="arrival_seq")
     refresh_days(spark, root, merge_staged(spark, root))
     return _tiers(spark, root)
-
-
-assert CANDLE_COLUMNS[2:] == OHLCV
