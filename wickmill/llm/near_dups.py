@@ -6,9 +6,9 @@ planes. Candidates pass when the match share of the planes, corrected for chance
 Passing pairs are confirmed on the full shingle sets.
 
 Scale: equal sets are folded into one class before anything is compared. In a bucket every class is first
-paired with the bucket's smallest id only, so a bucket of n classes gives n pairs. Pairs within a bucket are
+paired with one leader only, so a bucket of n classes gives n pairs. Pairs within a bucket are
 looked at only between classes that are still in different components, and only those whose planes agree leave the
-join. Nothing about all documents is gathered anywhere; components are found by repeated joins.
+join, after their full sets have been compared there. Nothing about all documents is gathered anywhere; components are found by repeated joins.
 
 Defined cases: null, empty or blank text has an empty set, links with nothing and is its own component. Rows with equal
 ids are one document of the graph. A row without an id takes the component of its set, or null, and is kept
@@ -33,8 +33,8 @@ PERMUTATIONS = BANDS * ROWS
 PLANE_WORDS = (PERMUTATIONS + 63) // 64
 # Links need 100 * shared >= PERCENT * united.
 PERCENT = 85
-# Least corrected estimate that is confirmed: 0.15 under the threshold, six standard deviations of 224 minima.
-ESTIMATE = 0.70
+# Least corrected estimate that is confirmed: more than four standard deviations of 224 minima under the threshold.
+ESTIMATE = 0.74
 
 _CONSTANTS = mix64(np.arange(1, 2 * PERMUTATIONS + 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES = _CONSTANTS[:PERMUTATIONS] | np.uint64(1)
@@ -131,6 +131,17 @@ def sketch(docs: DataFrame) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], schema, task)
 
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep, hashes (of the full set) of the documents whose ids are in ``wanted(rep)``."""
+
+    def task(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, text in rows:
+            yield doc_id, shingle_hashes(text).view(np.int64).tolist()
+
+    chosen = docs.join(small(wanted.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
+    return map_rows(chosen, ["doc_id", "text"], "rep long, hashes array<long>", task).dropDuplicates(["rep"])
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough. Only texts of paired documents move."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
@@ -203,10 +214,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     live = classes.where("rep IS NOT NULL")
     signatures = live.select("rep", "planes")
 
-    # Buckets that hold more than one class, each with its smallest id.
+    # Buckets that hold more than one class. Each is led by the class that meets most others over all its buckets: in a
+    # group of variants that is their common origin, which is nearer to each of them than they are to each other.
     keyed = live.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("other")).where("leader < other")
-    members = stored(keyed.join(shared.select("key", "leader"), "key"), "members")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(keyed.join(shared, "key"), "members")
+    weights = met.groupBy("rep").agg(F.sum("n").alias("weight"))
+    weighed = met.join(weights, "rep")
+    leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("top"))
+    members = stored(met.join(leaders.select("key", (-F.col("top.rep")).alias("leader")), "key").select("key", "rep", "leader"), "led")
 
     def similar(pairs: DataFrame) -> DataFrame:
         return (
@@ -228,14 +244,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     open_ = stored(placed.join(mixed.select("key"), "key").join(signatures, "rep"), "open")
-    one = open_.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("planes").alias("pa"))
-    two = open_.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("planes").alias("pb"))
-    cross = (
-        one.join(two, (one["key"] == two["key"]) & (one["ca"] > two["cb"]) & (estimate(one["pa"], two["pb"]) >= ESTIMATE))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
+    wanted = stored(open_.select("rep").distinct(), "open-ids")
+    sets = stored(shingle_sets(docs, wanted), "open-sets")
+    laid = open_.join(sets, "rep")
+
+    def side(name: str) -> DataFrame:
+        return laid.select("key", *(F.col(c).alias(f"{c}_{name}") for c in ("rep", "component", "planes", "hashes")))
+
+    # Pairs are tried on their full sets inside the join, so the many that fail in a group of variants are never written.
+    shared_size = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    united = F.size("hashes_a") + F.size("hashes_b") - shared_size
+    cross = side("a").alias("l").join(
+        side("b").alias("r"),
+        (F.col("l.key") == F.col("r.key"))
+        & (F.col("component_a") > F.col("component_b"))
+        & (estimate(F.col("planes_a"), F.col("planes_b")) >= ESTIMATE)
+        & (100 * shared_size >= PERCENT * united),
     )
-    second = stored(cross.join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    second = stored(cross.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct(), "pairs")
     if not second.isEmpty():
         more = stored(confirm(docs, second), "links")
         found = stored(components(links.unionByName(more)), "components")
