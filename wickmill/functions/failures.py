@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 # Failure type names per category, and the words that mark a refused request.
 RATE_LIMITED_TYPES = ("RateLimitError", "TemporaryBanError")
-NETWORK_TYPES = ("NetworkError", "RequestError", "TimeoutError", "ConnectionError")
-VALIDATION_TYPES = ("PayloadCorruptionError", "MalformedMessageError", "ValueError")
+NETWORK_TYPES = (
+    "NetworkError", "RequestError", "TransportError", "TimeoutException", "ConnectTimeout", "ReadTimeout", "WriteTimeout",
+    "PoolTimeout", "ConnectError", "ReadError", "WriteError", "CloseError", "ProtocolError", "ProxyError", "TimeoutError",
+    "ConnectionError", "ConnectionResetError", "ConnectionRefusedError", "ConnectionAbortedError", "BrokenPipeError",
+)
+VALIDATION_TYPES = (
+    "PayloadCorruptionError", "MalformedMessageError", "ValueError", "JSONDecodeError", "UnicodeDecodeError", "UnicodeEncodeError",
+    "UnicodeError",
+)
 API_TYPES = ("APIError",)
 DATABASE_TYPES_PATTERN = "OperationalError|DBAPIError|InterfaceError"
 AUTHENTICATION_PATTERN = "401|403|auth|api key"
@@ -22,8 +29,8 @@ def _col(c: Column | str) -> Column:
 
 
 def error_category(error_type: Column | str, message: Column | str) -> Column:
-    """Category of a failure from its type name and message text."""
-    kind, text = _col(error_type), F.lower(F.coalesce(_col(message), F.lit("")))
+    """Category of a failure from its type name (with or without its module) and message text."""
+    kind, text = F.substring_index(_col(error_type), ".", -1), F.lower(F.coalesce(_col(message), F.lit("")))
     api = (
         F.when(text.rlike(AUTHENTICATION_PATTERN), "AUTHENTICATION")
         .when(text.rlike(PERMANENT_PATTERN), "PERMANENT")

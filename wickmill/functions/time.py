@@ -71,9 +71,14 @@ def seconds_between(start: Column | str, end: Column | str) -> Column:
     return (F.unix_micros(_col(end)) - F.unix_micros(_col(start))) / F.lit(1_000_000.0)
 
 
+# The first and last millisecond of the years 1 to 9999.
+FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
+
+
 def from_epoch_ms(ms: Column | str) -> Column:
-    """Epoch milliseconds to a UTC timestamp."""
-    return F.timestamp_millis(_col(ms))
+    """Epoch milliseconds to a UTC timestamp; null outside the years 1 to 9999, so a bad number never fails a job."""
+    ms = _col(ms)
+    return F.when(ms.between(FIRST_MS, LAST_MS), F.timestamp_millis(ms))
 
 
 def to_utc(ts: Column | str) -> Column:

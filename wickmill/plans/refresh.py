@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickmill.operators.coverage import day_ranges, merge_ranges
-from wickmill.operators.dedup import merge_union
+from wickmill.operators.dedup import CANDLE_KEY
 from wickmill.operators.rollup import all_tiers, touched_days
 from wickmill.schemas import COVERAGE_STORED
-from wickmill.sources.tables import clustered, drop_days, read_candles, read_days, stored_days, write_candles
+from wickmill.sources.tables import append_absent, clustered, drop_days, read_candles, read_days, stored_days
 from wickmill.timeframes import BASE_TIER, ROLLUP_TIERS, tier_path
 
 
@@ -64,15 +64,14 @@ def refresh_windows(spark: SparkSession, root: str, windows: DataFrame) -> list[
 def merge_staged(spark: SparkSession, root: str, days_per_job: int = 366) -> list[date]:
     """Move staged rows into the base table, base rows winning; returns the days to refresh.
 
-    Only the staged days of the base are rewritten. A crash between the rewrite and the removal of the
-    staged days is harmless: merging the same rows again changes nothing.
+    Staged rows whose key the base has not are appended; no base file is touched. A crash between the append and
+    the removal of the staged days is harmless: merging the same rows again adds nothing.
     """
     days = stored_days(spark, staging_path(root))
     for first in range(0, len(days), days_per_job):
         part = days[first : first + days_per_job]
-        staged = read_candles(spark, staging_path(root), days=part)
-        base = read_candles(spark, base_path(root), days=part)
-        write_candles(merge_union(base, staged), base_path(root), mode="overwrite")
+        staged = read_candles(spark, staging_path(root), days=part).dropDuplicates([*CANDLE_KEY])
+        append_absent(spark, staged, base_path(root), part)
         drop_days(spark, staging_path(root), part)
     return days
 

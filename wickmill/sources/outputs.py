@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -25,22 +27,26 @@ def export_key(asset_id: Column | str, tier: Column | str, job_id: Column | str)
     )
 
 
-def _with_millis(candles: DataFrame) -> None:
-    candles.sparkSession.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MILLIS")
+_TIME_TYPE = "spark.sql.parquet.outputTimestampType"
 
 
-def _with_micros(candles: DataFrame) -> None:
-    candles.sparkSession.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+@contextmanager
+def _times_in_millis(rows: DataFrame) -> Iterator[None]:
+    """Millisecond times for the writes inside; afterwards the session has the setting it had before."""
+    conf = rows.sparkSession.conf
+    before = conf.get(_TIME_TYPE)
+    conf.set(_TIME_TYPE, "TIMESTAMP_MILLIS")
+    try:
+        yield
+    finally:
+        conf.set(_TIME_TYPE, before)
 
 
 def export_parquet(candles: DataFrame, path: str) -> None:
     """The six export columns in time order as gzip Parquet with millisecond UTC times."""
-    _with_millis(candles)
-    try:
+    with _times_in_millis(candles):
         rows = candles.select(*[F.col(c).cast("double").alias(c) if c in OHLCV else c for c in EXPORT_COLUMNS])
         rows.orderBy("timestamp").write.mode("overwrite").option("compression", EXPORT_CODEC).parquet(path)
-    finally:
-        _with_micros(candles)
 
 
 def requested_candles(candles: DataFrame, requests: DataFrame, tier: str | None = None) -> DataFrame:
@@ -56,8 +62,7 @@ def export_requests(candles: DataFrame, requests: DataFrame, root: str, tier: st
     """Many exports in one run: ``exports/asset_id=…/timeframe=…/job_id=…`` below ``root``."""
     rows = requested_candles(candles, requests, tier).select("asset_id", "timeframe", "job_id", *EXPORT_COLUMNS)
     layout = ["asset_id", "timeframe", "job_id"]
-    _with_millis(candles)
-    try:
+    with _times_in_millis(candles):
         (
             rows.hint("rebalance", *layout)
             .sortWithinPartitions(*layout, "timestamp")
@@ -66,8 +71,6 @@ def export_requests(candles: DataFrame, requests: DataFrame, root: str, tier: st
             .partitionBy(*layout)
             .parquet(f"{root.rstrip('/')}/exports")
         )
-    finally:
-        _with_micros(candles)
 
 
 def candle_json(candles: DataFrame) -> DataFrame:

@@ -29,7 +29,14 @@ def stored_days(spark: SparkSession, path: str) -> list[date]:
     if not files.exists(location):
         return []
     names = [status.getPath().getName() for status in files.listStatus(location) if status.isDirectory()]
-    return sorted(date.fromisoformat(n[len(DAY_PREFIX) :]) for n in names if n.startswith(DAY_PREFIX))
+    return sorted(day for n in names if n.startswith(DAY_PREFIX) and (day := _day(n[len(DAY_PREFIX) :])) is not None)
+
+
+def _day(name: str) -> date | None:
+    try:
+        return date.fromisoformat(name)
+    except ValueError:
+        return None
 
 
 def clustered(candles: DataFrame, *leading: str) -> DataFrame:
