@@ -82,6 +82,21 @@ def test_live_ingest(spark, folder):
     assert minutes_of(read_candles(spark, base_path(target.root)).where("asset_id = 4"), "timestamp") == [(5,)]
 
 
+def test_first_landed_file_wins_over_a_larger_later_one(spark, folder):
+    import os
+
+    os.makedirs(f"{folder}/in")
+    target = target_of(spark, folder)
+    land(f"{folder}/in", "z", [message("BTCUSDT", 0, 100)])
+    land(f"{folder}/in", "a", [message("BTCUSDT", m, 900 + m) for m in range(500)])
+    for name, seconds in (("z", 1_700_000_000), ("a", 1_700_000_060)):
+        os.utime(f"{folder}/in/{name}.txt", (seconds, seconds))
+    run(spark, folder, target, at(600), files=10)
+    stored = read_candles(spark, base_path(target.root))
+    assert stored.count() == 500
+    assert minutes_of(stored.where("open < 900"), "timestamp", "open", "close", "high") == [(0, 100, 101, 105)]
+
+
 def test_shuffled_arrival_equals_batch(spark, folder):
     import os
 
@@ -117,5 +132,16 @@ def test_stream_rollup_over_several_batches(spark, folder):
     assert spark.read.parquet(f"{folder}/log").select("batch_id").distinct().count() == 4
 
 
+def test_stream_rollup_keeps_candles_of_any_lateness(spark, folder):
+    parts = [candle_rows([0, 1]), candle_rows([60 * DAY, 60 * DAY + 1]), candle_rows([2, 3])]
+    for rows in parts:
+        candles(spark, rows).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(CANDLE).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    start_tier_log(stream_rollup(stream, "1h"), f"{folder}/log", f"{folder}/ck", available_now=True).awaitTermination()
+    got = read_tier_log(spark, f"{folder}/log").select("asset_id", "timestamp", *OHLCV)
+    expected = rollup(candles(spark, sum(parts, [])), "1h").select(*got.columns)
+    assert got.count() == 2 and sorted(got.collect()) == sorted(expected.collect())
+
+
 def test_base_is_the_test_epoch():
     assert BASE.tzinfo is not None

@@ -40,6 +40,7 @@ def stream_rollup_1h(spark, sf_dir):
 
 
 _NOW = I.utc(2024, 1, 31)
+_FILES = 5
 
 
 def _landed(spark, sf_dir, root: str) -> None:
@@ -59,8 +60,13 @@ def _landed(spark, sf_dir, root: str) -> None:
         F.lit('{"e":"kline","E":'), F.unix_millis("event_time").cast("string"), F.lit(',"s":"'), "symbol", F.lit('","k":')
     )
     lines = I.feed_events(spark, sf_dir).select("event_id", F.concat(head, kline, F.lit("}")).alias("value"))
-    # Several files in event order: copies of a candle arrive in one file or in a later one.
-    lines.repartitionByRange(5, "event_id").sortWithinPartitions("event_id").select("value").write.text(f"{root}/landed")
+    # Several files, landed one after the other in event order: copies of a candle arrive in one file or in a later one.
+    # The last ones are the largest, which Spark would read first.
+    first, last = lines.agg(F.coalesce(F.min("event_id"), F.lit(0)), F.coalesce(F.max("event_id"), F.lit(0))).first()
+    placed = lines.withColumn("part", F.floor(F.sqrt((F.col("event_id") - first) / (last - first + 1)) * _FILES))
+    for part in range(_FILES):
+        one = placed.where(F.col("part") == part).repartition(1).sortWithinPartitions("event_id")
+        one.select("value").write.mode("append").text(f"{root}/landed")
 
 
 def _live(spark, sf_dir, refresh: bool = True) -> LiveTarget:
@@ -68,7 +74,7 @@ def _live(spark, sf_dir, refresh: bool = True) -> LiveTarget:
     _landed(spark, sf_dir, root)
     target = LiveTarget(root, f"{root}/assets")
     I.assets(spark, sf_dir).write.parquet(target.assets_path)
-    stream = stream_messages(spark, f"{root}/landed")
+    stream = stream_messages(spark, f"{root}/landed", files_per_trigger=2)
     start_live_ingest(
         stream, target, f"{root}/checkpoint", clock=lambda: _NOW, available_now=True, refresh=refresh
     ).awaitTermination()

@@ -26,8 +26,8 @@ def dedup_first(df: DataFrame, keys: Sequence[str] = CANDLE_KEY, arrival: str =
     """The row with the lowest arrival number of each key.
 
     A grouped ``min_by`` instead of a ranked window: copies of one key are combined map-side, so a key
-    repeated without limit costs one buffer rather than one huge group. ``arrival`` must be unique
-    within a key.
+    repeated without limit costs one buffer rather than one huge group. ``arrival`` may be a struct; it must be
+    unique within a key, else the values of one row may come from several copies.
     """
     others = [c for c in df.columns if c not in (*keys, arrival)]
     return df.groupBy(*keys).agg(

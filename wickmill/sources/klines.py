@@ -60,11 +60,15 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_messages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The same folder as a stream; ``files_per_trigger`` bounds one micro-batch."""
+    """The same folder as a stream; ``files_per_trigger`` bounds one micro-batch.
+
+    ``landed`` orders the files and their blocks by the time they landed.
+    """
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path)
+    place = ("file_modification_time", "file_path", "file_block_start")
+    return reader.load(path).select("value", F.struct(*[f"_metadata.{c}" for c in place]).alias("landed"))
 
 
 def _is_object(text: Column | str) -> Column:

@@ -69,12 +69,15 @@ def ingest_messages(
 ) -> None:
     """One batch of raw messages (``value``) through parse, checks, mapping, first-wins write, recompute.
 
-    ``arrival`` orders copies of a candle inside the batch; by default the position in the source
-    (for a message broker, pass its offset).
+    ``arrival`` orders copies of a candle inside the batch (for a message broker, pass its offset). By default it is
+    ``landed``, where ``messages`` has that column, and then the position in the source: Spark reads large files
+    first, so the position alone does not tell which file came first.
     """
     # The registry is read anew for every batch, so new and deactivated assets take effect at once.
     assets = spark.read.schema(ASSET).parquet(target.assets_path)
-    numbered = messages.select("value", (F.monotonically_increasing_id() if arrival is None else arrival).alias(ARRIVAL))
+    if arrival is None:
+        arrival = F.struct(*(c for c in ("landed",) if c in messages.columns), F.monotonically_increasing_id().alias("position"))
+    numbered = messages.select("value", arrival.alias(ARRIVAL))
     parsed = parse_klines(numbered, received_at=F.lit(as_of)).persist(StorageLevel.MEMORY_AND_DISK)
     classified = classify_events(good_events(parsed), assets, target.exchange).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -102,8 +105,9 @@ def start_live_ingest(
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     available_now: bool = False,
     refresh: bool = True,
+    arrival: Column | None = None,
 ) -> StreamingQuery:
-    """Start the live ingest over a stream with a text column ``value``.
+    """Start the live ingest over a stream with a text column ``value``; ``arrival`` as in :func:`ingest_messages`.
 
     Batch size is the source's rate limit (files or offsets per trigger); the flush interval is the
     trigger. ``available_now`` works off what has landed and stops.
@@ -112,7 +116,7 @@ def start_live_ingest(
     def flush(batch: DataFrame, batch_id: int) -> None:
         # A stream's session has adaptive execution off. The stream itself keeps no state, so the batch
         # jobs inside may use it: they rely on it for hot keys, hot days and file sizes.
-        ingest_messages(configure(batch.sparkSession), batch, target, batch_id, clock(), refresh=refresh)
+        ingest_messages(configure(batch.sparkSession), batch, target, batch_id, clock(), arrival, refresh)
 
     writer = messages.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     if available_now:

@@ -8,43 +8,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wickmill.functions.time import time_bucket
 from wickmill.operators.rollup import ohlcv_aggregates
 from wickmill.schemas import OHLCV
-from wickmill.timeframes import tier_seconds
 
 KEYS = ("asset_id",)
+BUCKET = "_bucket"
 
 
-def stream_rollup(
-    candles: DataFrame, tier: str, lateness: str = "7 days", keys: Sequence[str] = KEYS
-) -> DataFrame:
-    """Tumbling buckets of a candle stream; ``lateness`` bounds the state, not the base table."""
-    bucket = F.window("timestamp", f"{tier_seconds(tier)} seconds")
-    return (
-        candles.withWatermark("timestamp", lateness)
-        .groupBy(*keys, bucket)
-        .agg(*ohlcv_aggregates())
-        .select(*keys, F.col("window.start").alias("timestamp"), *OHLCV)
-    )
+def stream_rollup(candles: DataFrame, tier: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Candles of a stream with the bucket they belong to.
+
+    No state is kept, so there is no watermark and no candle is too late. Expects one row per (key, timestamp), as in
+    what was appended to the base table.
+    """
+    return candles.select(*keys, "timestamp", *OHLCV, time_bucket("timestamp", tier).alias(BUCKET))
 
 
-def start_tier_log(rolled: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Append every changed bucket of each micro-batch; a replayed batch replaces its own folder."""
+def start_tier_log(
+    rolled: DataFrame, path: str, checkpoint: str, available_now: bool = False, keys: Sequence[str] = KEYS
+) -> StreamingQuery:
+    """Append what each micro-batch adds to its buckets; a replayed batch replaces its own folder."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         (
-            batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            batch.groupBy(*keys, BUCKET)
+            .agg(*ohlcv_aggregates(), F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time"))
+            .withColumnRenamed(BUCKET, "timestamp")
+            .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch_id")
             .parquet(path)
         )
 
-    writer = rolled.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = rolled.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def read_tier_log(spark: SparkSession, path: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The newest version of every bucket."""
+    """Every bucket, from the parts that the micro-batches added to it."""
     log = spark.read.parquet(path)
-    return log.groupBy(*keys, "timestamp").agg(*[F.max_by(c, "batch_id").alias(c) for c in OHLCV])
+    return log.groupBy(*keys, "timestamp").agg(
+        F.min_by("open", "first_time").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "last_time").alias("close"),
+        F.sum("volume").alias("volume"),
+    )
