@@ -7,7 +7,7 @@ from datetime import timedelta
 
 import pytest
 
-from tests.helpers import BASE, at, minutes_of, ranges, requests
+from tests.helpers import BASE, at, candle_rows, candles, minutes_of, ranges, requests
 from wickmill.operators import coverage as C
 from wickmill.operators.intervals import overlapping_pairs, points_in_windows
 from wickmill.operators.series import growth_rate
@@ -122,3 +122,18 @@ def test_growth_across_hours(spark):
         t0, v0 = next((a, b) for a, b in data if t - timedelta(seconds=300) <= a)
         want = None if t0 == t else (v - v0) / ((t - t0).total_seconds() / 60)
         assert got[i] == pytest.approx(want) if want is not None else got[i] is None
+
+
+def test_coverage_report_counts_whole_days_and_ragged_ends(spark):
+    rng = random.Random(10)
+    midnight = 840
+    # Midnights, a minute around them, and any other minute of six days.
+    marks = [midnight + 1440 * d + k for d in range(-1, 5) for k in (-1, 0, 1)]
+    held = sorted({rng.randrange(-700, 7200) for _ in range(900)} | {m for m in marks if rng.random() < 0.7})
+    edges = marks + [rng.randrange(-700, 7200) for _ in range(12)]
+    windows = sorted({(1, a, b) for a, b in (rng.sample(edges, 2) for _ in range(150))} | {(1, 0, 0), (2, 0, 5000)})
+    rows = candle_rows(held)
+    wanted = sorted((a, s, e, sum(s <= m < e for m in held) if a == 1 else 0, e - s) for a, s, e in windows)
+    for unique in (True, False):
+        got = C.coverage_report(candles(spark, rows if unique else rows * 2), requests(spark, windows), unique=unique)
+        assert minutes_of(got, "asset_id", "request_start", "request_end", "candles", "expected") == wanted

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickmill.functions.time import seconds_between, shift
+from wickmill.functions.time import ceil_to, chunk_of, day_start, seconds_between, shift
 from wickmill.operators.intervals import overlapping_pairs, points_in_windows
 from wickmill.operators.ordered import (
     CHUNK,
@@ -275,26 +275,33 @@ def coverage_report(
 ) -> DataFrame:
     """Distinct candles held against candles expected in each half-open request window.
 
-    Pass ``unique=True`` for a stored table, which already has one row per key and time.
+    Whole days of a window are taken from one count per key and day, so the work does not grow with the candles that
+    long or overlapping windows share; only the ragged ends meet single candles. Pass ``unique=True`` for a
+    stored table, which already has one row per key and time. Completeness is null where nothing is expected.
     """
     window = [*keys, request_start, request_end]
     times = candles.select(*keys, "timestamp")
-    held = (
-        points_in_windows(
-            times if unique else times.distinct(),
-            requests.select(*window).distinct(),
-            keys,
-            "timestamp",
-            request_start,
-            request_end,
-        )
-        .groupBy(*window)
-        .agg(F.count("*").alias("candles"))
+    times = times if unique else times.distinct()
+    wanted = requests.select(*window).distinct().where(F.col(request_start) < F.col(request_end))
+    first_day, last_day = ceil_to(request_start, DAY_SECONDS), day_start(request_end)
+
+    daily = times.groupBy(*keys, chunk_of("timestamp").alias(CHUNK)).agg(F.count("*").alias("candles"))
+    step = F.lit(DAY_SECONDS).cast("bigint")
+    days = F.when(first_day < last_day, F.sequence(F.unix_seconds(first_day), F.unix_seconds(last_day) - step, step))
+    inner = wanted.withColumn(CHUNK, F.explode(days)).join(daily, [*keys, CHUNK]).select(*window, "candles")
+
+    head_end = F.least(first_day, F.col(request_end))
+    ends = F.array(
+        F.struct(F.col(request_start).alias("_from"), head_end.alias("_to")),
+        F.struct(F.greatest(last_day, head_end).alias("_from"), F.col(request_end).alias("_to")),
     )
+    edges = points_in_windows(times, wanted.select(*window, F.inline(ends)), keys, "timestamp", "_from", "_to")
+    outer = edges.groupBy(*window).agg(F.count("*").alias("candles"))
+    held = inner.unionByName(outer).groupBy(*window).agg(F.sum("candles").alias("candles"))
     expected = F.floor(seconds_between(request_start, request_end) / F.lit(step_seconds)).cast("bigint")
     return (
         requests.join(held, window, "left")
         .withColumn("candles", F.coalesce(F.col("candles"), F.lit(0).cast("bigint")))
         .withColumn("expected", expected)
-        .withColumn("completeness", F.col("candles") / F.col("expected"))
+        .withColumn("completeness", F.try_divide("candles", "expected"))
     )

@@ -59,8 +59,12 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def stream_messages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The same folder as a stream; ``files_per_trigger`` bounds one micro-batch.
+# Files of one micro-batch, so that a first start over a backlog is worked off in bounded batches.
+FILES_PER_TRIGGER = 1000
+
+
+def stream_messages(spark: SparkSession, path: str, files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
+    """The same folder as a stream; ``files_per_trigger`` bounds one micro-batch, None takes all that has landed.
 
     ``landed`` orders the files and their blocks by the time they landed.
     """
