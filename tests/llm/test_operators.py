@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from wickmill.llm import (
     cotraining,
     decontamination,
@@ -221,6 +222,37 @@ def test_components_equal_brute_force(spark):
     assert kept == sorted(k for k, (_, c) in wanted.items() if c == k)
 
 
+def test_stage_links_near_copies_from_80_percent_on(spark):
+    rng = random.Random(14)
+    texts = []
+    for _ in range(40):
+        words = some_words(rng, 120, 5000)
+        texts.append(" ".join(words))
+        # Each change takes five shingles of 116: two leave 106 of 126 (0.84), three 101 of 131 (0.77).
+        for changes in (2, 3):
+            other = list(words)
+            for k in range(changes):
+                other[20 + 30 * k] = f"new{rng.randrange(1000)}"
+            texts.append(" ".join(other))
+    sets = [near_dups.shingle_set(t) for t in texts]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(texts)) for b in range(a)}
+    assert sum(0.8 <= x < 0.85 for x in alike.values()) >= 40
+    least = list(range(len(texts)))
+    for (a, b), x in sorted(alike.items()):
+        if x >= 0.8:
+            low, high = sorted((least[a], least[b]))
+            least = [low if y == high else y for y in least]
+    got = by_id(near_dups.near_duplicates(frame(spark, texts), 80))
+    assert {k: r["component_id"] for k, r in got.items()} == dict(enumerate(least))
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least))
+
+
+def test_bands_and_estimate_leave_room_under_each_threshold():
+    assert near_dups.banding(85) == (32, 7) and near_dups.least_estimate(85) == 0.74
+    assert near_dups.banding(80) == (37, 6) and near_dups.least_estimate(80) == 0.67
+
+
 def test_estimate_is_near_the_true_similarity(spark):
     rng = random.Random(5)
     words = some_words(rng, 600, 10_000)

@@ -1,7 +1,7 @@
 """Near duplicates by b-bit MinHash.
 
 A document's set holds its five-word shingles (words as in the contract, A-Z in lower case). ``PERMUTATIONS`` minima are
-taken; ``BANDS`` keys of ``ROWS`` minima each make candidates, and the low ``BITS`` bits of every minimum are packed into bit
+taken; keys of a few minima each (``banding``) make candidates, and the low ``BITS`` bits of every minimum are packed into bit
 planes. Candidates pass when the match share of the planes, corrected for chance collisions, leaves room for the threshold.
 Passing pairs are confirmed on the full shingle sets.
 
@@ -17,6 +17,7 @@ only where that is null. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -28,19 +29,34 @@ from pyspark.sql import functions as F
 from wickmill.llm.common import map_rows, mix64, small, stored
 
 WIDTH = 5
-BANDS, ROWS, BITS = 32, 7, 4
-PERMUTATIONS = BANDS * ROWS
+PERMUTATIONS, MOST_ROWS, BITS = 224, 7, 4
 PLANE_WORDS = (PERMUTATIONS + 63) // 64
-# Links need 100 * shared >= PERCENT * united.
-PERCENT = 85
-# Least corrected estimate that is confirmed: more than four standard deviations of 224 minima under the threshold.
-ESTIMATE = 0.74
+# Links need 100 * shared >= percent * united. op3 has a threshold of its own; the pipeline's stage takes STAGE_PERCENT.
+PERCENT, STAGE_PERCENT = 85, 80
+# Share of pairs at the threshold that may have no band in common.
+MISSED = 2e-5
 
 _CONSTANTS = mix64(np.arange(1, 2 * PERMUTATIONS + 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES = _CONSTANTS[:PERMUTATIONS] | np.uint64(1)
 _PLUS = _CONSTANTS[PERMUTATIONS : 2 * PERMUTATIONS]
 _FOLD = _CONSTANTS[2 * PERMUTATIONS :][:WIDTH] | np.uint64(1)
-_JOIN = _CONSTANTS[2 * PERMUTATIONS + WIDTH :][:ROWS] | np.uint64(1)
+_JOIN = _CONSTANTS[2 * PERMUTATIONS + WIDTH :][:MOST_ROWS] | np.uint64(1)
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows: the longest keys by which at most ``MISSED`` of the pairs at the threshold do not meet."""
+    for rows in range(MOST_ROWS, 0, -1):
+        bands = PERMUTATIONS // rows
+        if (1 - (percent / 100) ** rows) ** bands <= MISSED:
+            return bands, rows
+    raise ValueError(f"no banding of {PERMUTATIONS} minima serves {percent} percent")
+
+
+def least_estimate(percent: int) -> float:
+    """Least corrected estimate that is confirmed: more than four standard deviations of the minima under the threshold."""
+    chance = 2.0**-BITS
+    match = percent / 100 * (1 - chance) + chance
+    return math.floor(percent - 440 * math.sqrt(match * (1 - match) / PERMUTATIONS) / (1 - chance)) / 100
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -84,10 +100,11 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return least >> np.uint64(32)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
+def band_keys(least: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    bands, rows = banding(percent)
     with np.errstate(over="ignore"):
-        joined = (mix64(least).reshape(BANDS, ROWS) * _JOIN).sum(axis=1, dtype=np.uint64)
-        return mix64(joined + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
+        joined = (mix64(least[: bands * rows]).reshape(bands, rows) * _JOIN[:rows]).sum(axis=1, dtype=np.uint64)
+        return mix64(joined + np.arange(bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
 
 
 def planes(least: np.ndarray) -> np.ndarray:
@@ -112,7 +129,7 @@ def estimate(a: Column, b: Column) -> Column:
     return (1 - differing / F.lit(float(PERMUTATIONS)) - chance) / (1 - chance)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit digest, band keys and planes of every document."""
 
     def task(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -125,7 +142,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 d1 = int(hashes.sum(dtype=np.uint64).view(np.int64))
                 d2 = int(mix64(hashes + np.uint64(len(hashes))).sum(dtype=np.uint64).view(np.int64))
-            yield doc_id, len(hashes), d1, d2, band_keys(least).tolist(), planes(least).tolist()
+            yield doc_id, len(hashes), d1, d2, band_keys(least, percent).tolist(), planes(least).tolist()
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, d1 long, d2 long, bands array<long>, planes array<long>"
     return map_rows(docs, ["doc_id", "text"], schema, task)
@@ -201,10 +218,11 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(roots) if seen[0] else spark.createDataFrame([], "node long, component long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``; sets link from ``percent`` of similarity on."""
+    enough = least_estimate(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = stored(sketch(docs), "sketches")
+    sketches = stored(sketch(docs, percent), "sketches")
     classes = stored(
         sketches.where("n_shingles > 0")
         .groupBy("d1", "d2")
@@ -228,14 +246,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return (
             pairs.join(signatures.select(F.col("rep").alias("a"), F.col("planes").alias("pa")), "a")
             .join(signatures.select(F.col("rep").alias("b"), F.col("planes").alias("pb")), "b")
-            .where(estimate(F.col("pa"), F.col("pb")) >= ESTIMATE)
+            .where(estimate(F.col("pa"), F.col("pb")) >= enough)
             .select("a", "b")
             .distinct()
         )
 
     stars = members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     first = stored(similar(stars), "pairs")
-    links = stored(confirm(docs, first), "links")
+    links = stored(confirm(docs, first, percent), "links")
     found = stored(components(links), "components")
 
     # What a star misses: classes of one bucket that are in different components still.
@@ -258,12 +276,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         side("b").alias("r"),
         (F.col("l.key") == F.col("r.key"))
         & (F.col("component_a") > F.col("component_b"))
-        & (estimate(F.col("planes_a"), F.col("planes_b")) >= ESTIMATE)
-        & (100 * shared_size >= PERCENT * united),
+        & (estimate(F.col("planes_a"), F.col("planes_b")) >= enough)
+        & (100 * shared_size >= percent * united),
     )
     second = stored(cross.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct(), "pairs")
     if not second.isEmpty():
-        more = stored(confirm(docs, second), "links")
+        more = stored(confirm(docs, second, percent), "links")
         found = stored(components(links.unionByName(more)), "components")
 
     of_class = (
@@ -279,12 +297,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of every group of near duplicates: that of the smallest id. Rows with no words all stay.
 
     Rows without an id stay. Of rows that repeat an id, one stays.
     """
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id")
+    kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select("doc_id")
     stay = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
