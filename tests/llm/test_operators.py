@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import math
 import random
@@ -430,6 +431,35 @@ def test_pseudonyms_keep_formats_link_equal_values_and_can_be_undone(spark):
     assert other[0]["text"] != text
 
 
+def test_all_written_shapes_are_replaced_in_format_and_can_be_undone(spark):
+    shapes = {
+        "phone": [
+            "+1 (017) 555-7713", "+14155552671", "+1 415 555 2671", "415 555 2671", "(415)555-2671", "+1-415-555-2671", "017.555.7713",
+            "+44 20 7946 0958", "+442079460958", "+49 (0)30 901820", "+33.1.23.45.67.89", "+81-3-1234-5678",
+        ],
+        "card": ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904", "4111 1111 1111 1111"],
+        "date": ["31/12/1999", "31.12.1999", "1-2-2020", "01/2/2020", "1/02/2020", "12/31/2020", "1/13/2020", "29/02/2020", "2/29/2024", "2020/02/29", "2020.12.31"],
+    }
+    values = [(kind, v) for kind, vs in shapes.items() for v in vs]
+    decoys = ["3782 822463 10006", "31/02/2020", "29/02/2021", "29/2/1900", "13/13/2020", "+12", "1.2.3.2020", "4155552671"]
+    docs = frame(spark, [f"at {v}, then" for _, v in values] + decoys)
+    done = pseudonyms.with_pseudonyms(docs)
+    got = by_id(done)
+    shape = lambda s: re.sub(r"\d", "9", s)
+    for k, (kind, v) in enumerate(values):
+        text = got[k]["text"]
+        assert got[k]["_kinds"] == [kind] and v not in text and shape(text) == shape(f"at {v}, then"), (v, text)
+        if kind == "date" and v.count("/") == 2 and len(v.split("/")[2]) == 4:
+            a, b, year = map(int, text.removeprefix("at ").removesuffix(", then").split("/"))
+            day, month = (a, b) if b <= 12 else (b, a)
+            assert datetime.date(year, month, day)
+    assert [got[len(values) + k]["text"] for k in range(len(decoys))] == decoys
+    ends = {re.sub(r"\D", "", got[k]["text"])[-10:] for k, (_, v) in enumerate(values) if re.sub(r"\D", "", v)[-10:] == "4155552671"}
+    assert len(ends) == 1 and re.sub(r"\D", "", got[7]["text"]) == re.sub(r"\D", "", got[8]["text"])
+    back = by_id(pseudonyms.with_pseudonyms(done.drop("_kinds"), reveal=True))
+    assert [back[k]["text"] for k in sorted(back)] == [r["text"] for r in docs.orderBy("doc_id").collect()]
+
+
 def test_pair_permutation_is_a_bijection(spark):
     pairs = spark.range(12 * 7).select((F.col("id") % 12).alias("x"), F.floor(F.col("id") / 12).alias("y"))
     got = pairs.select(pseudonyms.permute_pair(F.col("x"), F.col("y"), 12, 7, "k", "t").alias("p")).select("p.*").distinct()

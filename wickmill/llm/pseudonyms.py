@@ -5,9 +5,12 @@ within its own format, so equal values get equal pseudonyms in all documents and
 different ones:
 
 - card numbers: the first digit stays, the digits between it and the check digit are permuted, the check digit is computed anew;
-- phone numbers: the country code and the leading digits of area and exchange stay, the others are permuted;
-- IPv4 addresses: both halves of the 32 bits; US social numbers: within the valid numbers; dates (ISO, 1900 to 2099): year and day
-  of year, with day 366 permuted among leap years;
+- phone numbers of ten digits, told by +1, brackets or separators: the country code and the leading digits of area and exchange
+  stay, the others are permuted; other numbers written with a plus: all after the first three digits. Digit groups one blank, dot or
+  hyphen apart belong to such a number, up to 15 digits;
+- IPv4 addresses: both halves of the 32 bits; US social numbers: within the valid numbers;
+- dates, 1900 to 2099: year first, by year and day of year, with day 366 permuted among leap years; year last, day before month or
+  month before a day above 12, by year and by day and month among those written with as many digits, 29 February among leap years;
 - mail addresses: letters and digits of the local part, each within its class; the domain stays.
 
 All are Feistel networks: the two halves change in turn by a keyed hash of the other half, so every step can be undone
@@ -30,14 +33,23 @@ DEFAULT_KEY = "public-demonstration-key"
 ROUNDS = 8
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_TEN_DIGITS = (
+    r"(?:(?:\+?1[ .-]?)?\(\d{3}\)[ .-]{0,2}\d{3}[ .-]?\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)"
+)
+_WITH_PLUS = r"\+[1-9](?:[ .-]?\(?\d\)?){6,14}(?!\d)"
+_MONTH, _DAY = r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+_YEAR_FIRST = r"(?<![\d-])(?:19|20)\d{2}(?:" + "|".join(f"{mark}{_MONTH}{mark}{_DAY}" for mark in ("-", "/", r"\.")) + r")(?![\d-])"
+_YEAR_LAST = (
+    r"(?<![\d./-])(?:" + "|".join(rf"\d{{1,2}}{mark}\d{{1,2}}{mark}" for mark in ("-", "/", r"\.")) + r")(?:19|20)\d{2}(?![\d-])"
+)
 # Fixed forms of the values, in the order in which they are tried at a place.
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "phone": r"(?<![\d+])(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[.-])[2-9]\d{2}[ .-]\d{4}(?!\d)",
-    "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)",
+    "phone": rf"(?<![\d+])(?:{_TEN_DIGITS}|{_WITH_PLUS})",
+    "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})(?!\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
-    "date": r"(?<![\d-])(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
+    "date": rf"{_YEAR_FIRST}|{_YEAR_LAST}",
 }
 ANY = "|".join(f"(?:{form})" for form in FORMS.values())
 
@@ -158,7 +170,10 @@ def _phone(value: Column, key: str, back: bool) -> Column:
         whole = lambda free: F.concat(
             F.call_function("substring", digits, F.lit(1), head), at(1, 1), F.substring(free, 1, 2), at(4, 1), F.substring(free, 3, 6)
         )
-        return let(let(permute_text(F.concat(at(2, 2), at(5, 6)), key, "phone", back), whole), lambda d: refill(value, d))
+        ten = let(let(permute_text(F.concat(at(2, 2), at(5, 6)), key, "phone", back), whole), lambda d: refill(value, d))
+        rest = permute_text(F.call_function("substring", digits, F.lit(4)), key, "phone abroad", back)
+        abroad = let(F.concat(F.substring(digits, 1, 3), rest), lambda d: refill(value, d))
+        return F.when(value.startswith("+") & ~((F.length(digits) == 11) & digits.startswith("1")), abroad).otherwise(ten)
 
     return let(digits_of(value), new)
 
@@ -184,15 +199,61 @@ def _ssn(value: Column, key: str, back: bool) -> Column:
     return let(pair, text)
 
 
-def _date(value: Column, key: str, back: bool) -> Column:
-    day = F.call_function("try_to_date", value, F.lit("yyyy-MM-dd"))
+def _leap_moved(year: Column, key: str, back: bool) -> Column:
+    """A leap year for a leap year, of the 49 from 1904 to 2096."""
+    sign = -1 if back else 1
+    return F.pmod(F.floor((year - 1904) / 4) + sign * _hash(key, F.lit("leap")), F.lit(49).cast("long")) * 4 + 1904
+
+
+def _year_first(value: Column, key: str, back: bool) -> Column:
+    day = F.call_function("try_to_date", F.regexp_replace(value, "[/.]", "-"), F.lit("yyyy-MM-dd"))
     pair = permute_pair(F.year(day) - 1900, F.dayofyear(day) - 1, 200, 365, key, "date", back)
     usual = let(pair, lambda v: F.date_add(F.make_date((v["x"] + 1900).cast("int"), F.lit(1), F.lit(1)), v["y"].cast("int")))
-    # The 49 years with a day 366: 1904, 1908, ... 2096.
-    sign = -1 if back else 1
-    leap = F.pmod(F.floor((F.year(day) - 1904) / 4) + sign * _hash(key, F.lit("leap")), F.lit(49).cast("long"))
-    last = F.make_date((leap * 4 + 1904).cast("int"), F.lit(12), F.lit(31))
-    return F.when(day.isNotNull(), F.date_format(F.when(F.dayofyear(day) == 366, last).otherwise(usual), "yyyy-MM-dd"))
+    last = F.make_date(_leap_moved(F.year(day), key, back).cast("int"), F.lit(12), F.lit(31))
+    new = F.date_format(F.when(F.dayofyear(day) == 366, last).otherwise(usual), "yyyy-MM-dd")
+    return F.when(day.isNotNull(), F.replace(new, F.lit("-"), F.call_function("substring", value, F.lit(5), F.lit(1))))
+
+
+def _days_as_written() -> dict[str, list[str]]:
+    """Days and months, 29 February aside, by order and widths: day/month, and month/day where the day is above 12."""
+    lengths = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+    wide = lambda n: [f"{n:02d}", *([str(n)] if n < 10 else [])]
+    found: dict[str, list[str]] = {}
+    for month, length in enumerate(lengths, 1):
+        for day in range(1, length + 1):
+            for d in wide(day):
+                for m in wide(month):
+                    found.setdefault(f"dm{len(d)}{len(m)}", []).append(f"{d}/{m}")
+                    if day > 12:
+                        found.setdefault(f"md{len(m)}{len(d)}", []).append(f"{m}/{d}")
+    return found
+
+
+DAYS_AS_WRITTEN = _days_as_written()
+
+
+def _year_last(value: Column, key: str, back: bool) -> Column:
+    year = F.call_function("right", value, F.lit(4)).cast("int")
+    mark = F.regexp_extract(value, "[/.-]", 0)
+    head = F.array_join(F.slice(F.split(value, "[/.-]"), 1, 2), "/")
+
+    def written(head: Column) -> Column:
+        dated = lambda day, year: F.concat(F.replace(day, F.lit("/"), mark), mark, year.cast("string"))
+
+        def moved(name: str, days: list[str]) -> Column:
+            listed = F.array(*map(F.lit, days))
+            at = F.array_position(listed, head)
+            pair = permute_pair(year - 1900, at - 1, 200, len(days), key, f"date {name}", back)
+            return F.when(at > 0, let(pair, lambda v: dated(F.get(listed, v["y"].cast("int")), v["x"] + 1900)))
+
+        leap = head.isin("29/02", "29/2", "02/29", "2/29") & (year % 4 == 0) & (year != 1900)
+        return F.coalesce(*(moved(*group) for group in DAYS_AS_WRITTEN.items()), F.when(leap, dated(head, _leap_moved(year, key, back))))
+
+    return let(head, written)
+
+
+def _date(value: Column, key: str, back: bool) -> Column:
+    return F.when(value.rlike(r"\A\d{4}"), _year_first(value, key, back)).otherwise(_year_last(value, key, back))
 
 
 def _email(value: Column, key: str, back: bool) -> Column:
