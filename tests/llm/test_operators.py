@@ -359,6 +359,16 @@ def test_line_links_and_verdicts_equal_brute_force(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in kept.values())
 
 
+def test_stage_drops_exact_copies_of_short_lines(spark):
+    long = "a line of the text that is long enough for two edits"
+    texts = [f"And so it ends.\n\n{long}\nOk", f"first\nAnd so it ends.\n\n{long}!\nAnd so it ends", "ok\nAnd so it ends.", "Ok\nAnd so it ends.", None]
+    docs = frame(spark, texts)
+    kept = by_id(corpus_pipeline.lines(spark, docs, ""))
+    assert {d: r["text"] for d, r in kept.items()} == {0: texts[0], 1: "first\n\nAnd so it ends", 2: "ok", 4: None}
+    assert kept[1]["n_chars"] == len(kept[1]["text"])
+    assert by_id(line_dedup.drop_lines(docs))[3]["text"] == texts[3]
+
+
 # -- 7 quality ---------------------------------------------------------------------------------------------------
 
 
