@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wickmill.llm import (
+    conversation_repair,
     cotraining,
     decontamination,
     language,
     license_scan,
     line_dedup,
+    merkle,
     mixing,
     near_dups,
     pseudonyms,
     quality_rules,
     secret_scan,
+    sentence_pieces,
 )
 from wickmill.llm.common import documents, table
 
@@ -61,6 +64,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentence_pieces.encoding_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,9 +91,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pseudonyms,
         op9_mixing,
         op10_secret_scan,
+        op11_sentence_pieces,
+        op12_conversation_repair,
+        op13_merkle_manifest,
     )
 }
 
-ORACLES: dict[str, str] = {"op3_near_dups": near_dups.SQL, "op6_line_dedup": line_dedup.SQL, "op9_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {
+    "op3_near_dups": near_dups.SQL,
+    "op6_line_dedup": line_dedup.SQL,
+    "op9_mixing": mixing.SQL,
+    "op13_merkle_manifest": merkle.SQL,
+}
 
 __all__ = ["ORACLES", "QUERIES"]
