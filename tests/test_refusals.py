@@ -70,7 +70,7 @@ def test_a_merge_appends_and_leaves_base_files_as_they_were(spark, folder):
     insert_ignore(spark, candles(spark, (1, 1, 0, 1.0), (2, 1, 0, 1.0)), base_path(folder))
     before = files_below(base_path(folder))
     insert_ignore(spark, candles(spark, (1, 1, 0, 9.0), (1, 1, 1, 9.0), (3, 2, 0, 9.0)), staging_path(folder))
-    assert [d.day for d in merge_staged(spark, folder)] == [1, 2]
+    assert sorted({p.day.day for p in merge_staged(spark, folder)}) == [1, 2]
     after = files_below(base_path(folder))
     assert all(after.get(f) == t for f, t in before.items()) and len(after) > len(before)
     got = {(r.asset_id, r.timestamp.minute): r.open for r in spark.read.parquet(base_path(folder)).where("asset_id < 3").collect()}

@@ -52,9 +52,9 @@ def test_reads_prune_days_and_push_filters(spark, folder):
 
 
 def test_rows_lie_by_asset_newest_first(spark, folder):
-    write_candles(candles(spark, [r for a in (2, 1) for r in candle_rows(range(30), asset_id=a)]), folder)
+    write_candles(candles(spark, [r for a in (3, 1) for r in candle_rows(range(30), asset_id=a)]), folder)
     seen = []
-    for path in sorted(glob.glob(f"{folder}/day=*/*.parquet")):
+    for path in sorted(glob.glob(f"{folder}/day=*/slot=*/*.parquet")):
         table = pq.read_table(path, columns=["asset_id", "timestamp"], partitioning=None)
         seen += list(zip(table["asset_id"].to_pylist(), table["timestamp"].to_pylist()))
     assert len(seen) == 60
@@ -81,8 +81,8 @@ def test_overlapping_jobs_leave_one_range(spark, folder):
 def test_merge_moves_staged_days(spark, folder):
     insert_ignore(spark, candles(spark, candle_rows([0, DAY], price=100.0)), base_path(folder))
     insert_ignore(spark, candles(spark, candle_rows([0, 1, 2 * DAY], price=200.0)), staging_path(folder))
-    days = merge_staged(spark, folder)
-    assert [d.day for d in days] == [1, 3]
+    parts = merge_staged(spark, folder)
+    assert [p.day.day for p in parts] == [1, 3]
     got = minutes_of(read_candles(spark, base_path(folder)), "timestamp", "open")
     assert got == [(0, 100.0), (1, 200.0), (DAY, 100.0), (2 * DAY, 200.0)]
     assert stored_days(spark, staging_path(folder)) == []
@@ -92,12 +92,12 @@ def test_merge_moves_staged_days(spark, folder):
 def test_refresh_touches_only_its_days(spark, folder):
     write_candles(candles(spark, candle_rows(range(0, 3 * DAY, 60))), base_path(folder))
     refresh_days(spark, folder, stored_days(spark, base_path(folder)))
-    untouched = set(glob.glob(f"{folder}/tier=1h/day=2026-01-01/*.parquet"))
+    untouched = set(glob.glob(f"{folder}/tier=1h/day=2026-01-01/slot=*/*.parquet"))
     insert_ignore(spark, candles(spark, candle_rows([DAY + 1], price=900.0)), base_path(folder))
     windows = spark.createDataFrame([(at(DAY), at(DAY + 2)), (at(DAY), at(DAY + 3))], "start_time timestamp, end_time timestamp")
     days = refresh_windows(spark, folder, refresh_jobs(windows, BASE))
     assert [d.day for d in days] == [2]
-    assert set(glob.glob(f"{folder}/tier=1h/day=2026-01-01/*.parquet")) == untouched
+    assert set(glob.glob(f"{folder}/tier=1h/day=2026-01-01/slot=*/*.parquet")) == untouched
     high = read_candles(spark, tier_path(folder, "1d")).where("high > 900").count()
     assert high == 1
 
@@ -150,7 +150,7 @@ def test_outage_is_repaired(spark, folder):
     assert minutes_of(stored.where("open = 300"), "timestamp") == [(m,) for m in range(11, 21)]
     assert minutes_of(read_coverage(spark, folder), "start_timestamp", "end_timestamp") == [(0, 25)]
     again = repair_gaps(spark, folder, only, ledger, pages, as_of)
-    assert read_candles(spark, base_path(folder)).count() == 26 and again.staged_days == []
+    assert read_candles(spark, base_path(folder)).count() == 26 and again.staged == []
 
 
 def test_an_active_job_keeps_its_window(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.helpers import BASE, assets, at, candle_rows, candles, minutes_of
 from wickmill.operators import coverage as C
 from wickmill.operators.rollup import rollup
-from wickmill.plans.refresh import base_path, read_coverage, staging_path
+from wickmill.plans.refresh import base_path, read_coverage, refresh_touched, staging_path
 from wickmill.schemas import CANDLE, OHLCV
 from wickmill.sources.klines import stream_messages
 from wickmill.sources.tables import read_candles
@@ -42,6 +42,7 @@ def target_of(spark, folder):
 def run(spark, folder, target, as_of, checkpoint="checkpoint", files=1):
     stream = stream_messages(spark, f"{folder}/in", files_per_trigger=files)
     start_live_ingest(stream, target, f"{folder}/{checkpoint}", clock=lambda: as_of, available_now=True).awaitTermination()
+    refresh_touched(spark, target.root)
 
 
 def test_live_ingest(spark, folder):
@@ -66,7 +67,7 @@ def test_live_ingest(spark, folder):
     tiers = read_candles(spark, tier_path(target.root, "5m")).where("asset_id = 1")
     assert minutes_of(tiers, "timestamp", "open", "close", "volume") == [(-10 * DAY, 77, 78, 2), (0, 100, 104, 8)]
     audit = {r.batch_id: r for r in read_audit(spark, target).collect()}
-    assert audit[0].persisted == 4 and audit[0].rejected == 0
+    assert audit[0].persisted == 4 and audit[0].rejected == 1 and audit[0].batches == 1
     second = audit[1]
     assert (second.received, second.rejected, second.unmapped, second.inactive, second.duplicate, second.persisted) == (6, 1, 1, 1, 1, 3)
     reasons = sorted(r.outcome for r in spark.read.parquet(target.quarantine).collect())

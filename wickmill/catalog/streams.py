@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from wickmill.catalog import inputs as I
 from wickmill.catalog.registry import query
-from wickmill.plans.refresh import base_path, read_coverage, refresh_coverage, refresh_days, staging_path
-from wickmill.plans.repair import repair_gaps, scan_gaps
-from wickmill.schemas import OHLCV
+from wickmill.catalog.writes import stored_tiers
+from wickmill.functions.time import floor_to
+from wickmill.plans.refresh import base_path, read_coverage, refresh_coverage, refresh_days, refresh_touched, staging_path
+from wickmill.plans.repair import page_quarantine, refresh_ledger, repair_from_pages, repair_ledger, scan_gaps
+from wickmill.schemas import OHLCV, REFRESH_JOB, REPAIR_JOB
 from wickmill.session import scratch_dir
 from wickmill.sources.klines import stream_messages
+from wickmill.sources.ledgers import read_ledger
 from wickmill.sources.tables import insert_ignore, read_candles, stored_days, write_candles
 from wickmill.streaming.live import LiveTarget, read_audit, start_live_ingest
 from wickmill.streaming.rollup import read_tier_log, start_tier_log, stream_rollup
-from wickmill.timeframes import tier_path
 
 _TICK = """SELECT event_type AS asset_id, ts AS "timestamp", value AS open, value AS high, value AS low, value AS close,
                   1.0::DOUBLE AS volume FROM events"""
@@ -40,11 +42,12 @@ def stream_rollup_1h(spark, sf_dir):
 
 
 _NOW = I.utc(2024, 1, 31)
-_FILES = 5
+_STEPS = 3
+_AUDIT_COUNTERS = ("batches", "received", "rejected", "unmapped", "inactive", "duplicate", "persisted")
 
 
-def _landed(spark, sf_dir, root: str) -> None:
-    """Land the feed as message files: every accepted or refused event as one JSON line."""
+def _message_lines(spark, sf_dir):
+    """The feed as messages: every accepted or refused event as one JSON line."""
     number = {c: F.when(F.isnan(c), "NaN").otherwise(F.col(c).cast("string")) for c in OHLCV}
     kline = F.to_json(
         F.struct(
@@ -59,25 +62,28 @@ def _landed(spark, sf_dir, root: str) -> None:
     head = F.concat(
         F.lit('{"e":"kline","E":'), F.unix_millis("event_time").cast("string"), F.lit(',"s":"'), "symbol", F.lit('","k":')
     )
-    lines = I.feed_events(spark, sf_dir).select("event_id", F.concat(head, kline, F.lit("}")).alias("value"))
-    # Several files, landed one after the other in event order: copies of a candle arrive in one file or in a later one.
-    # The last ones are the largest, which Spark would read first.
-    first, last = lines.agg(F.coalesce(F.min("event_id"), F.lit(0)), F.coalesce(F.max("event_id"), F.lit(0))).first()
-    placed = lines.withColumn("part", F.floor(F.sqrt((F.col("event_id") - first) / (last - first + 1)) * _FILES))
-    for part in range(_FILES):
-        one = placed.where(F.col("part") == part).repartition(1).sortWithinPartitions("event_id")
-        one.select("value").write.mode("append").text(f"{root}/landed")
+    return I.feed_events(spark, sf_dir).select("event_id", F.concat(head, kline, F.lit("}")).alias("value"))
+
 
+def _live(spark, sf_dir) -> LiveTarget:
+    """Live ingest over files that land in steps, the later steps larger; one micro-batch takes what a step landed.
 
-def _live(spark, sf_dir, refresh: bool = True) -> LiveTarget:
+    A step's files hold ranges of event numbers, so the path and the place in a file tell which copy of a candle came first.
+    """
     root = scratch_dir(spark, "live")
-    _landed(spark, sf_dir, root)
     target = LiveTarget(root, f"{root}/assets")
     I.assets(spark, sf_dir).write.parquet(target.assets_path)
-    stream = stream_messages(spark, f"{root}/landed", files_per_trigger=2)
-    start_live_ingest(
-        stream, target, f"{root}/checkpoint", clock=lambda: _NOW, available_now=True, refresh=refresh
-    ).awaitTermination()
+    lines = _message_lines(spark, sf_dir)
+    first, last = lines.agg(F.coalesce(F.min("event_id"), F.lit(0)), F.coalesce(F.max("event_id"), F.lit(0))).first()
+    placed = lines.withColumn("step", F.floor(F.sqrt((F.col("event_id") - first) / (last - first + 1)) * _STEPS))
+    for step in range(_STEPS):
+        one = placed.where(F.col("step") == step).repartitionByRange("event_id").sortWithinPartitions("event_id")
+        one.select("value").write.text(f"{root}/landed/step-{step}")
+        stream = stream_messages(spark, f"{root}/landed/*")
+        arrival = F.struct("landed.file_path", "landed.file_block_start", F.monotonically_increasing_id().alias("position"))
+        start_live_ingest(
+            stream, target, f"{root}/checkpoint", clock=lambda: _NOW, available_now=True, arrival=arrival
+        ).awaitTermination()
     return target
 
 
@@ -87,13 +93,18 @@ _INGESTED = f"SELECT asset_id, \"timestamp\", open, high, low, close, volume FRO
 
 @query("stream_ingest", _INGESTED)
 def stream_ingest(spark, sf_dir):
-    """Landed messages to the base table: parse, check, map, first write wins, merge of old days."""
-    return read_candles(spark, base_path(_live(spark, sf_dir).root))
+    """Landed messages to the base table: parse, check, map, first write wins, then one refresh with the merge of old days."""
+    root = _live(spark, sf_dir).root
+    refresh_touched(spark, root)
+    return read_candles(spark, base_path(root))
 
 
-@query("stream_ingest_tiers", I.rollup_sql(_INGESTED, "1 day"))
+@query("stream_ingest_tiers", I.all_tiers_sql(_INGESTED))
 def stream_ingest_tiers(spark, sf_dir):
-    return read_candles(spark, tier_path(_live(spark, sf_dir).root, "1d"))
+    """All five tiers after the refresh that follows the stream."""
+    root = _live(spark, sf_dir).root
+    refresh_touched(spark, root)
+    return stored_tiers(spark, root)
 
 
 @query(
@@ -103,24 +114,30 @@ def stream_ingest_tiers(spark, sf_dir):
 )
 def stream_late_data(spark, sf_dir):
     """Nothing is dropped for lateness: rows older than seven days wait in staging."""
-    root = _live(spark, sf_dir, refresh=False).root
+    root = _live(spark, sf_dir).root
     base = read_candles(spark, base_path(root)).withColumn("kept_in", F.lit("base"))
     return base.unionByName(read_candles(spark, staging_path(root)).withColumn("kept_in", F.lit("staging")))
 
 
+_STEP_SQL = f"""SELECT *, floor(sqrt((event_id - min(event_id) OVER ()) / (max(event_id) OVER () - min(event_id) OVER () + 1)) * {_STEPS}) AS step
+                FROM ({I.CLASSIFIED})"""
+
+
 @query(
     "stream_audit",
-    f"""SELECT CAST(count(*) FILTER (outcome NOT LIKE 'rejected:%') AS BIGINT) AS received,
+    f"""SELECT CAST(step AS BIGINT) AS batch_id, CAST(1 AS BIGINT) AS batches,
+               CAST(count(*) FILTER (outcome NOT LIKE 'rejected:%') AS BIGINT) AS received,
                CAST(count(*) FILTER (outcome LIKE 'rejected:%') AS BIGINT) AS rejected,
                CAST(count(*) FILTER (outcome = 'unmapped') AS BIGINT) AS unmapped,
-               CAST(count(*) FILTER (outcome = 'inactive') AS BIGINT) AS inactive
-        FROM (SELECT CASE WHEN outcome LIKE 'rejected:%' AND outcome <> 'rejected:not_closed' THEN NULL
-                          ELSE outcome END AS outcome FROM ({I.CLASSIFIED}))""",
+               CAST(count(*) FILTER (outcome = 'inactive') AS BIGINT) AS inactive,
+               CAST(count(*) FILTER (outcome = 'accepted')
+                    - count(DISTINCT (asset_id, "timestamp")) FILTER (outcome = 'accepted') AS BIGINT) AS duplicate,
+               CAST(count(DISTINCT (asset_id, "timestamp")) FILTER (outcome = 'accepted') AS BIGINT) AS persisted
+        FROM ({_STEP_SQL}) GROUP BY step""",
 )
 def stream_audit(spark, sf_dir):
-    """Counters over all micro-batches; messages refused by the parser are quarantined before them."""
-    audit = read_audit(spark, _live(spark, sf_dir, refresh=False))
-    return audit.agg(*[F.sum(c).alias(c) for c in ("received", "rejected", "unmapped", "inactive")])
+    """All counters of every micro-batch; what the parser refuses counts as rejected."""
+    return read_audit(spark, _live(spark, sf_dir)).select("batch_id", *_AUDIT_COUNTERS)
 
 
 _RUNS = """
@@ -170,36 +187,111 @@ def gap_scan_active(spark, sf_dir):
     return scan_gaps(_held(spark, sf_dir), I.assets(spark, sf_dir), _SCAN_AT)
 
 
-@query(
-    "gap_repair_flow",
-    f"""
+# Pages of six hours per asset, as a history request would bring them; one in seven each has its klines in falling order, a kline with a
+# negative price, or no array at all.
+_PAGE_HOURS = 6
+
+
+def _pages(spark, sf_dir):
+    rows = I.user_candles(spark, sf_dir).withColumn("page_start", floor_to("timestamp", _PAGE_HOURS * 3600))
+    kind = F.pmod(F.col("asset_id") + F.unix_seconds("page_start") / (_PAGE_HOURS * 3600), F.lit(7)).cast("int")
+    cells = [F.unix_millis("timestamp").cast("string"), *[F.col(c).cast("string") for c in OHLCV]]
+    grouped = rows.groupBy("asset_id", "page_start").agg(
+        F.sort_array(F.collect_list(F.struct("timestamp", F.array(*cells).alias("kline")))).alias("rows")
+    )
+    klines = F.transform("rows", lambda r: r["kline"])
+    bad_last = F.transform(
+        klines, lambda k, i: F.when(i == F.size("rows") - 1, F.concat(F.slice(k, 1, 3), F.array(F.lit("-1")), F.slice(k, 5, 2))).otherwise(k)
+    )
+    falling = F.reverse(klines)
+    value = F.when(kind == 2, "<html>busy</html>").otherwise(
+        F.to_json(F.when(kind == 0, falling).when(kind == 1, bad_last).otherwise(klines))
+    )
+    page_end = F.timestamp_seconds(F.unix_seconds("page_start") + _PAGE_HOURS * 3600)
+    page_id = F.concat(F.col("asset_id").cast("string"), F.lit("-"), F.unix_seconds("page_start").cast("string"))
+    return grouped.select("asset_id", page_id.alias("page_id"), "page_start", page_end.alias("page_end"), value.alias("value"))
+
+
+_PAGES_SQL = f"""
+    SELECT asset_id, page_start, page_start + INTERVAL {_PAGE_HOURS} HOUR AS page_end,
+           CAST(asset_id AS VARCHAR) || '-' || CAST(CAST(epoch(page_start) AS BIGINT) AS VARCHAR) AS page_id,
+           CASE (asset_id + CAST(epoch(page_start) AS BIGINT) // {_PAGE_HOURS * 3600}) % 7
+                WHEN 0 THEN CASE WHEN klines > 1 THEN 'disordered' END
+                WHEN 1 THEN 'price_not_positive' WHEN 2 THEN 'not_a_page' END AS refused
+    FROM (SELECT asset_id, time_bucket(INTERVAL '{_PAGE_HOURS} hours', "timestamp") AS page_start, count(*) AS klines
+          FROM ({I.USER_CANDLES}) GROUP BY 1, 2)"""
+
+_LOST = """"timestamp" >= TIMESTAMP '2024-01-29 20:00:00' AND "timestamp" < TIMESTAMP '2024-01-30 04:00:00'"""
+_REPAIRED = f"""
     SELECT * FROM ({_HELD})
     UNION ALL
-    SELECT asset_id, "timestamp", open, high, low, close, volume FROM ({I.USER_CANDLES})
-    WHERE "timestamp" >= TIMESTAMP '2024-01-29 20:00:00' AND "timestamp" < TIMESTAMP '2024-01-30 04:00:00'
-      AND asset_id IN (SELECT asset_id FROM ({_ACTIVE}))
-    """,
-)
-def gap_repair_flow(spark, sf_dir):
-    """Scan, fetch the landed page rows of the gaps, write, recompute: all assets in one job."""
+    SELECT c.asset_id, "timestamp", open, high, low, close, volume
+    FROM ({I.USER_CANDLES}) c JOIN ({_PAGES_SQL}) p
+      ON p.asset_id = c.asset_id AND p.page_start = time_bucket(INTERVAL '{_PAGE_HOURS} hours', "timestamp") AND p.refused IS NULL
+    WHERE {_LOST} AND c.asset_id IN (SELECT asset_id FROM ({_ACTIVE}))"""
+
+
+def _repair(spark, sf_dir, *before) -> str:
+    """A store with an outage after one repair run from page texts; ``before`` rebuilds what is kept per day ahead of it. Returns its root."""
     root = scratch_dir(spark, "repair")
     write_candles(_held(spark, sf_dir), base_path(root))
-    pages = I.user_candles(spark, sf_dir).withColumn("arrival_seq", F.unix_seconds("timestamp"))
-    jobs = I.jobs(spark, sf_dir)
-    repair_gaps(spark, root, I.assets(spark, sf_dir), jobs, pages, _SCAN_AT)
-    return read_candles(spark, base_path(root))
+    for refresh in before:
+        refresh(spark, root, stored_days(spark, base_path(root)))
+    repair_from_pages(spark, root, I.assets(spark, sf_dir), _pages(spark, sf_dir), _SCAN_AT, "run-1")
+    return root
 
 
-@query("gap_repair_tiers", I.rollup_sql(
-    f"""SELECT * FROM ({_HELD}) UNION ALL
-        SELECT asset_id, "timestamp", open, high, low, close, volume FROM ({I.USER_CANDLES})
-        WHERE "timestamp" >= TIMESTAMP '2024-01-29 20:00:00' AND "timestamp" < TIMESTAMP '2024-01-30 04:00:00'
-          AND asset_id IN (SELECT asset_id FROM ({_ACTIVE}))""", "1 day"))
+@query("gap_repair_flow", _REPAIRED)
+def gap_repair_flow(spark, sf_dir):
+    """Scan, claim jobs, judge page texts, write what taken pages hold for the gaps, recompute: all assets in one run."""
+    return read_candles(spark, base_path(_repair(spark, sf_dir)))
+
+
+@query("gap_repair_tiers", I.all_tiers_sql(_REPAIRED))
 def gap_repair_tiers(spark, sf_dir):
-    """Day tier after the repair: built from the held rows, then rebuilt for the repaired days only."""
-    root = scratch_dir(spark, "repair-tiers")
-    write_candles(_held(spark, sf_dir), base_path(root))
-    refresh_days(spark, root, stored_days(spark, base_path(root)))
-    pages = I.user_candles(spark, sf_dir).withColumn("arrival_seq", F.unix_seconds("timestamp"))
-    repair_gaps(spark, root, I.assets(spark, sf_dir), I.jobs(spark, sf_dir), pages, _SCAN_AT)
-    return read_candles(spark, tier_path(root, "1d"))
+    """All five tiers after the repair: built from the held rows, then rebuilt for the repaired parts only."""
+    return stored_tiers(spark, _repair(spark, sf_dir, refresh_days))
+
+
+@query("gap_repair_coverage", _RUNS.format(source=_REPAIRED))
+def gap_repair_coverage(spark, sf_dir):
+    return read_coverage(spark, _repair(spark, sf_dir, refresh_coverage))
+
+
+@query("gap_repair_quarantine", f"SELECT asset_id, page_id, page_start, page_end, refused FROM ({_PAGES_SQL}) WHERE refused IS NOT NULL")
+def gap_repair_quarantine(spark, sf_dir):
+    """Pages that are refused whole, with the first reason."""
+    pages = spark.read.parquet(page_quarantine(_repair(spark, sf_dir)))
+    return pages.select("asset_id", "page_id", "page_start", "page_end", "refused")
+
+
+_OUTCOMES = f"""
+    SELECT g.asset_id, upper(g.symbol) AS symbol, g.start_time, g.end_time,
+           CASE WHEN count(p.page_id) > 0 THEN 'failed' ELSE 'completed' END AS status,
+           CASE WHEN count(p.page_id) > 0 THEN 1 ELSE 0 END AS retry_count,
+           CASE WHEN count(p.page_id) > 0 THEN 'VALIDATION' END AS error_category,
+           'PayloadCorruptionError: ' || arg_min(p.refused, (p.page_start, p.page_id)) AS error_message
+    FROM ({_SCAN}) g LEFT JOIN (SELECT * FROM ({_PAGES_SQL}) WHERE refused IS NOT NULL) p
+      ON p.asset_id = g.asset_id AND p.page_start <= g.end_time AND p.page_end > g.start_time
+    GROUP BY g.asset_id, g.symbol, g.start_time, g.end_time"""
+
+
+@query("gap_repair_ledger", _OUTCOMES)
+def gap_repair_ledger(spark, sf_dir):
+    """The stored ledger after the run, read back: every gap's job in its last state."""
+    stored = read_ledger(spark, repair_ledger(_repair(spark, sf_dir)), REPAIR_JOB)
+    return stored.select(
+        "asset_id", "symbol", "start_time", "end_time", "status", "retry_count", "error_category", "error_message"
+    )
+
+
+@query(
+    "gap_repair_refreshes",
+    f"""SELECT DISTINCT date_trunc('day', start_time) AS window_start,
+               CASE WHEN end_time = date_trunc('day', end_time) THEN end_time
+                    ELSE date_trunc('day', end_time) + INTERVAL 1 DAY END AS window_end, 'completed' AS status
+        FROM ({_SCAN})""",
+)
+def gap_repair_refreshes(spark, sf_dir):
+    """The stored recompute ledger after the run."""
+    return read_ledger(spark, refresh_ledger(_repair(spark, sf_dir)), REFRESH_JOB).select("window_start", "window_end", "status")

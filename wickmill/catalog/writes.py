@@ -164,7 +164,7 @@ def candle_scan(spark, sf_dir):
     return read_candles(spark, path, *bounds, asset_id=8).orderBy("timestamp")
 
 
-def _tiers(spark, root):
+def stored_tiers(spark, root):
     """Every stored tier with its name."""
     parts = [read_candles(spark, tier_path(root, t)).withColumn("tier", F.lit(t)) for t in ROLLUP_TIERS]
     out = parts[0]
@@ -178,7 +178,7 @@ def tier_sink(spark, sf_dir):
     root = scratch_dir(spark, "tiers")
     write_candles(I.user_candles(spark, sf_dir), base_path(root))
     refresh_days(spark, root, stored_days(spark, base_path(root)))
-    return _tiers(spark, root)
+    return stored_tiers(spark, root)
 
 
 # Windows to recompute: an hour from each of the highest values.
@@ -201,7 +201,7 @@ def rollup_refresh_window(spark, sf_dir):
         .select(start.alias("window_start"), F.timestamp_seconds(F.unix_seconds("ts") + 3600).alias("window_end"))
     )
     refresh_windows(spark, root, windows)
-    return _tiers(spark, root)
+    return stored_tiers(spark, root)
 
 
 @query("touched_recompute", I.all_tiers_sql(_union_sql(I.LIVE_FEED, I.REPAIR_FEED)))
@@ -211,4 +211,4 @@ def touched_recompute(spark, sf_dir):
     refresh_days(spark, root, insert_ignore(spark, I.live_feed(spark, sf_dir), base_path(root), arrival="arrival_seq"))
     insert_ignore(spark, I.repair_feed(spark, sf_dir), staging_path(root), arrival="arrival_seq")
     refresh_days(spark, root, merge_staged(spark, root))
-    return _tiers(spark, root)
+    return stored_tiers(spark, root)

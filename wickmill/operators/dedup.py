@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wickmill.schemas import CANDLE_COLUMNS, OHLCV
 from wickmill.timeframes import as_utc
@@ -26,10 +27,13 @@ def dedup_first(df: DataFrame, keys: Sequence[str] = CANDLE_KEY, arrival: str =
     """The row with the lowest arrival number of each key.
 
     A grouped ``min_by`` instead of a ranked window: copies of one key are combined map-side, so a key
-    repeated without limit costs one buffer rather than one huge group. ``arrival`` may be a struct; it must be
-    unique within a key, else the values of one row may come from several copies.
+    repeated without limit costs one buffer rather than one huge group. ``arrival`` may be a struct; then a row is taken whole even
+    where copies tie. A plain arrival number must be unique within a key, else the values of one row may come from several copies.
     """
     others = [c for c in df.columns if c not in (*keys, arrival)]
+    if isinstance(df.schema[arrival].dataType, StructType):
+        first = F.min_by(F.struct(*others), F.struct(arrival, *others)).alias("_first")
+        return df.groupBy(*keys).agg(first, F.min(arrival).alias(arrival)).select(*keys, "_first.*", arrival)
     return df.groupBy(*keys).agg(
         *[F.min_by(c, arrival).alias(c) for c in others], F.min(arrival).alias(arrival)
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wickmill.functions.checks import event_reject_reason
@@ -64,16 +64,21 @@ def hot_keys(rows: DataFrame, cap: int = PENDING_PER_ASSET, key: str = "symbol")
 
 
 def page_order(
-    rows: DataFrame, batch: Sequence[str] = ("batch_id",), arrival: str = "arrival_seq", time: str = "timestamp"
+    rows: DataFrame,
+    batch: Sequence[str] = ("batch_id",),
+    *more: Column,
+    arrival: str = "arrival_seq",
+    time: str = "timestamp",
 ) -> DataFrame:
-    """One row per page: is any time at or before an earlier one in arrival order?
+    """One row per page: is any time at or before an earlier one in arrival order? ``more`` aggregates join the row.
 
     A page is strictly rising exactly when every time exceeds the maximum of those ahead of it.
     """
-    sliced = rows.withColumn(CHUNK, F.floor(F.col(arrival) / F.lit(ORDER_SLICE)).cast("bigint"))
+    place = F.coalesce(F.col(arrival), F.lit(0).cast("bigint"))
+    sliced = rows.withColumn(CHUNK, F.floor(place / F.lit(ORDER_SLICE)).cast("bigint"))
     compared = running_max(sliced, batch, [arrival], F.col(time), "_ahead")
     fell = F.coalesce(F.col(time) <= F.col("_ahead"), F.lit(False))
-    return compared.groupBy(*batch).agg(F.count("*").alias("rows"), F.bool_or(fell).alias("disordered"))
+    return compared.groupBy(*batch).agg(F.count("*").alias("rows"), F.bool_or(fell).alias("disordered"), *more)
 
 
 def ordered_pages(rows: DataFrame, batch: Sequence[str] = ("batch_id",), **names: str) -> DataFrame:

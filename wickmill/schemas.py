@@ -15,8 +15,11 @@ CANDLE = T.StructType(
     + [T.StructField(name, _F64, False) for name in OHLCV]
 )
 
-# On disk the tables carry the UTC day as their partition column.
-CANDLE_STORED = T.StructType(CANDLE.fields + [T.StructField("day", T.DateType(), True)])
+# On disk the tables carry the UTC day and the slot of the asset as partition columns.
+PART_FIELDS = [T.StructField("day", T.DateType(), True), T.StructField("slot", T.IntegerType(), True)]
+PART = T.StructType(PART_FIELDS)
+TOUCHED = T.StructType([*PART_FIELDS, T.StructField("writer", T.StringType(), True)])
+CANDLE_STORED = T.StructType(CANDLE.fields + PART_FIELDS)
 
 EVENT = T.StructType(
     [
@@ -55,7 +58,7 @@ RANGE = T.StructType(
     ]
 )
 
-COVERAGE_STORED = T.StructType(RANGE.fields + [T.StructField("day", T.DateType(), True)])
+COVERAGE_STORED = T.StructType(RANGE.fields + PART_FIELDS)
 
 REPAIR_JOB = T.StructType(
     [
@@ -85,3 +88,12 @@ REFRESH_JOB = T.StructType(
         T.StructField("created_at", _TS),
     ]
 )
+
+# Counters of one micro-batch. On disk by day and, until a day is compacted, by batch.
+AUDIT = T.StructType(
+    [T.StructField("day", T.DateType()), T.StructField("batch_id", T.LongType())]
+    + [
+        T.StructField(name, T.LongType())
+        for name in ("batches", "received", "rejected", "unmapped", "inactive", "duplicate", "persisted")
+    ]
+)

@@ -2,7 +2,7 @@
 
 Keys of a kline differ only by case (``t``/``T``, ``v``/``V``, ``q``/``Q``). The JSON reader keeps them
 apart, but a column reference would not, so each parsed struct is cast at once, by position, to
-distinct names. Numbers are read as text and converted with ``try_cast``: a bad one becomes a null.
+distinct names. Numbers are read as text: a bad one becomes a null.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickmill.functions.checks import event_reject_reason
+from wickmill.functions.numbers import may_hold_foreign, number, whole_number
 from wickmill.functions.once import computed_once
 from wickmill.functions.symbols import normalize_symbol
 from wickmill.functions.time import from_epoch_ms
@@ -59,18 +60,23 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-# Files of one micro-batch, so that a first start over a backlog is worked off in bounded batches.
-FILES_PER_TRIGGER = 1000
+# Bytes of one micro-batch, so that a first start over a backlog is worked off in bounded batches whatever the sizes of its files.
+BYTES_PER_TRIGGER = 256 * 1024 * 1024
 
 
-def stream_messages(spark: SparkSession, path: str, files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
-    """The same folder as a stream; ``files_per_trigger`` bounds one micro-batch, None takes all that has landed.
+def stream_messages(
+    spark: SparkSession, path: str, files_per_trigger: int | None = None, bytes_per_trigger: int | None = BYTES_PER_TRIGGER
+) -> DataFrame:
+    """The same folder as a stream. One micro-batch takes files up to ``bytes_per_trigger``, and at least one; or up to ``files_per_trigger``
+    of them where that is given; or, with neither, all that has landed. Spark cuts a large file into tasks as in any read.
 
     ``landed`` orders the files and their blocks by the time they landed.
     """
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    elif bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     place = ("file_modification_time", "file_path", "file_block_start")
     return reader.load(path).select("value", F.struct(*[f"_metadata.{c}" for c in place]).alias("landed"))
 
@@ -116,19 +122,20 @@ def parse_klines(messages: DataFrame, received_at: Column | None = None, source:
     """
     kept = messages.columns
     payload = with_payload(messages).select(
-        *kept, "kind", "event_ms", F.col("pair").alias("outer_pair"), F.col("kline")
+        *kept, "kind", "event_ms", F.col("pair").alias("outer_pair"), F.col("kline"), may_hold_foreign(F.col("kline")).alias("suspect")
     )
     kline = F.from_json("kline", _struct(KLINE_FIELDS, 1)).cast(_struct(KLINE_FIELDS, 0))
     fields = computed_once(payload, payload.columns, kline)
-    numbers = {f[0]: F.col(f[0]).try_cast(f[2]) for f in KLINE_FIELDS if f[2] in ("bigint", "double")}
+    read = {"bigint": whole_number, "double": number}
+    numbers = {f[0]: read[f[2]](F.col(f[0]), F.col("suspect")) for f in KLINE_FIELDS if f[2] in read}
     typed = F.struct(
         normalize_symbol(F.coalesce(F.nullif("outer_pair", F.lit("")), F.col("pair"))).alias("symbol"),
         F.coalesce("interval", F.lit(DEFAULT_INTERVAL)).alias("interval"),
         from_epoch_ms(numbers.pop("start_ms")).alias("timestamp"),
         from_epoch_ms(numbers.pop("close_ms")).alias("close_time"),
-        *[number.alias(name) for name, number in numbers.items()],
+        *[value.alias(name) for name, value in numbers.items()],
         "is_closed",
-        from_epoch_ms(F.col("event_ms").try_cast("bigint")).alias("event_time"),
+        from_epoch_ms(whole_number(F.col("event_ms"), F.lit(True))).alias("event_time"),
     )
     events = computed_once(fields, [*kept, "kind"], typed).select(
         "*",

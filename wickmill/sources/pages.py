@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickmill.functions.checks import candle_reject_reason
+from wickmill.functions.numbers import may_hold_foreign, number, whole_number
 from wickmill.functions.once import computed_once
 from wickmill.functions.time import from_epoch_ms
+from wickmill.operators.ingest import page_order
 from wickmill.schemas import OHLCV
 
 # Shape of a page and the number of leading elements a kline must have.
@@ -30,13 +34,14 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     exploded = pages.withColumn("_rows", rows).select(
         *keep,
         F.col("_rows").isNull().alias("_unreadable"),
+        may_hold_foreign(F.col("value")).alias("_suspect"),
         F.posexplode_outer("_rows").alias("arrival_seq", "_k"),
     )
     elements = [F.get("_k", F.lit(i)) for i in range(MIN_ELEMENTS)]
     cells = F.struct(
         F.size("_k").alias("_size"),
-        from_epoch_ms(elements[0].try_cast("bigint")).alias("timestamp"),
-        *[cell.try_cast("double").alias(name) for name, cell in zip(OHLCV, elements[1:])],
+        from_epoch_ms(whole_number(elements[0], F.col("_suspect"))).alias("timestamp"),
+        *[number(cell, F.col("_suspect")).alias(name) for name, cell in zip(OHLCV, elements[1:])],
     )
     typed = computed_once(exploded, [*keep, "_unreadable", "arrival_seq"], cells)
     reason = F.coalesce(
@@ -54,3 +59,26 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 def good_klines(parsed: DataFrame) -> DataFrame:
     return parsed.where("reject_reason is null").drop("reject_reason")
+
+
+DISORDERED = "disordered"
+
+
+def judge_pages(parsed: DataFrame, page: Sequence[str] = ("page_id",)) -> DataFrame:
+    """One row per page of :func:`parse_pages` rows: its number of klines and ``refused``, null for a page to be taken.
+
+    A page is taken or refused whole: one bad kline, or one that is not later than all before it, refuses it. The reason is that of the
+    first bad kline.
+    """
+    first_bad = F.min_by("reject_reason", F.when(F.col("reject_reason").isNotNull(), F.coalesce("arrival_seq", F.lit(-1).cast("bigint"))))
+    judged = page_order(parsed, page, first_bad.alias("_bad"))
+    return judged.select(
+        *page, F.col("rows").alias("klines"), F.coalesce("_bad", F.when(F.col("disordered"), DISORDERED)).alias("refused")
+    )
+
+
+def taken_pages(parsed: DataFrame, judged: DataFrame, page: Sequence[str] = ("page_id",)) -> DataFrame:
+    """Rows of the pages that are taken. ``arrival_seq`` orders klines across pages: by page, then by place."""
+    good = judged.where("refused is null").select(*page)
+    rows = parsed.join(good, list(page), "left_semi").drop("reject_reason")
+    return rows.withColumn("arrival_seq", F.struct(*page, "arrival_seq"))
