@@ -7,11 +7,13 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -146,6 +148,24 @@ def test_search_finds_what_a_full_scan_finds(spark):
             words[rng.randrange(len(words) + 1) : 0] = leak
         texts.append(" ".join(words).upper() if k % 5 == 0 else " ".join(words))
 
+    # Weights and subsequences anew, without the index.
+    bags = [Counter(decontamination.tokens_of(t)) for _, t in items]
+    df = Counter(t for bag in bags for t in bag)
+    mean = sum(sum(bag.values()) for bag in bags) / len(bags)
+    share = []
+    for bag in bags:
+        norm = 1.2 * (0.25 + 0.75 * sum(bag.values()) / mean)
+        weight = {t: math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + norm) for t, n in bag.items()}
+        share.append({t: w / sum(weight.values()) for t, w in weight.items()})
+
+    def subsequence(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for k, y in enumerate(b):
+                row.append(last[k] + 1 if x == y else max(row[k], last[k + 1]))
+        return row[-1]
+
     def slow(text):
         tokens = decontamination.tokens_of(text)
         width, step = 3 * index.longest, index.longest
@@ -154,8 +174,10 @@ def test_search_finds_what_a_full_scan_finds(spark):
             part = tokens[s : s + width]
             there = set(part)
             for k, (item, whole) in enumerate(items):
-                weights = {t: index.weight[a:b][index.item[a:b] == k] for t, n in index.terms.items() for a, b in [(index.start[n], index.start[n + 1])] if t in there}
-                if sum(float(w.sum()) for w in weights.values()) >= decontamination.RETRIEVE - 1e-9 and decontamination.overlaps(part, *index.parts[k]):
+                if sum(w for t, w in share[k].items() if t in there) < decontamination.RETRIEVE - 1e-9:
+                    continue
+                question, answer = decontamination.question_and_answer(whole)
+                if subsequence(question, part) >= decontamination.QUESTION * len(question) and len(set(answer) & there) >= decontamination.ANSWER * len(set(answer)):
                     found.add(item)
         return sorted(found)
 
@@ -179,6 +201,42 @@ def test_more_items_than_a_shard_give_the_same(spark, monkeypatch):
     assert one[0] == [0, 3]
 
 
+def test_shards_keep_rows_apart_and_weigh_over_all_items(spark, monkeypatch):
+    rng = random.Random(4)
+    # One word is common over all items but not inside a shard of two.
+    items = [(k, "common " + " ".join(some_words(rng, 14, 5000)) + ". right answer here.") for k in range(7)]
+    texts = [f"{items[k % 7][1]} tail {k}" if k % 2 else " ".join(some_words(rng, 60, 5000)) for k in range(14)]
+    docs = frame(spark, texts)
+    docs = docs.unionByName(docs.where("doc_id = 1")).withColumn("doc_id", F.expr("CASE WHEN doc_id < 4 THEN NULL ELSE doc_id END"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+
+    def rows():
+        found = decontamination.find_leaks(docs, benchmark).collect()
+        return sorted((str(r.doc_id), r.n_passages, r.item_ids, round(r.score, 9)) for r in found)
+
+    whole = rows()
+    assert len(whole) == 15 and sum(bool(r[2]) for r in whole) == 8
+    monkeypatch.setattr(decontamination, "SHARD_ITEMS", 2)
+    assert rows() == whole
+
+
+def test_a_leak_with_changed_words_is_found():
+    rng = random.Random(5)
+    items = [(k, " ".join(some_words(rng, 15, 3000)) + ". " + " ".join(some_words(rng, 4, 3000)) + ".") for k in range(100)]
+    index = decontamination.ItemIndex(items)
+    caught = {1: 0, 2: 0, 3: 0}
+    for changed in caught:
+        for k, text in items:
+            leak = decontamination.tokens_of(text)
+            for place in rng.sample(range(15), changed):
+                leak[place] = "altered"
+            words = [*some_words(rng, 80, 3000), *leak, *some_words(rng, 80, 3000)]
+            caught[changed] += k in index.search(" ".join(words))[1]
+    assert caught[1] == 100 and caught[2] >= 98 and caught[3] >= 90
+    clean = [" ".join(some_words(rng, 300, 3000)) for _ in range(200)]
+    assert not any(index.search(t)[1] for t in clean)
+
+
 # -- 3 near duplicates -------------------------------------------------------------------------------------------
 
 
@@ -421,7 +479,7 @@ def test_pseudonyms_keep_formats_link_equal_values_and_can_be_undone(spark):
     done = pseudonyms.with_pseudonyms(docs)
     got = by_id(done)
     text = got[0]["text"]
-    values = lambda t: {k: [m.group() for m in re.finditer(f.replace("++", "+"), t)] for k, f in pseudonyms.FORMS.items()}
+    values = lambda t: {k: [m.group() for m in regex.finditer(f, t)] for k, f in pseudonyms.FORMS.items()}
     before, after = values(PRIVATE), values(text)
     for kind, old in before.items():
         assert old and len(after[kind]) == len(old)
@@ -562,3 +620,43 @@ def test_discovery_lines_equal_the_step_up_rule(spark):
         passed = [p for k, p in enumerate(ps, 1) if p <= secret_scan.FALSE_SHARE * k / len(ps)]
         wanted = round(-math.log(max(passed)) * secret_scan.STEP) if passed else None
         assert got.get(s) == wanted
+
+
+# -- many and long candidates ------------------------------------------------------------------------------------
+
+
+def test_long_domains_and_many_matches_end_soon(spark):
+    texts = ["x@" + "a." * 4000 + "a", "y@" + "b." * 500_000 + "c z", "+" + "1 " * 50_000, "deadbeefdeadbeef1 " * 20_000 + "Zx9" * 7]
+    started = time.monotonic()
+    got = by_id(pseudonyms.pseudonymize(frame(spark, texts)))
+    assert len(got) == 4
+    found = by_id(secret_scan.scan(frame(spark, texts)))
+    assert found[3]["n_hex"] == 20_000
+    assert time.monotonic() - started < 120
+
+
+def test_tokens_apart_from_base_spans(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(200):
+        spans, places = [[], []], [0, 0]
+        for side in (0, 1):
+            for _ in range(rng.randrange(0, 6)):
+                start = places[side] + rng.randrange(0, 6)
+                end = start + rng.randrange(1, 7)
+                spans[side].append((start, end, f"{start}"))
+                places[side] = end
+        rows.append(tuple(spans))
+    kind = f"array<{secret_scan.SPANS}>"
+    df = spark.createDataFrame(rows, f"tokens {kind}, taken {kind}")
+    got = df.select("tokens", "taken", secret_scan.apart(F.col("tokens"), F.col("taken")).alias("free")).collect()
+    for r in got:
+        want = [t for t in r.tokens if not any(s.start < t.end and t.start < s.end for s in r.taken)]
+        assert r.free == want
+
+
+def test_ten_digits_with_blanks_need_a_word_for_telephones(spark):
+    texts = ["table 100 200 3000", "call 415 555 2671", "Tel: 415 555 2671", "415-555-2671"]
+    got = by_id(pseudonyms.with_pseudonyms(frame(spark, texts)))
+    assert got[0]["text"] == texts[0]
+    assert all(got[k]["text"] != texts[k] for k in (1, 2, 3))

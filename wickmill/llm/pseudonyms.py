@@ -34,8 +34,11 @@ ROUNDS = 8
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TEN_DIGITS = (
-    r"(?:(?:\+?1[ .-]?)?\(\d{3}\)[ .-]{0,2}\d{3}[ .-]?\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)"
+    r"(?:\+?1[ .-]?)?\(\d{3}\)[ .-]{0,2}\d{3}[ .-]?\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}|\d{3}(?:[.-]\d{3}[ .-]| \d{3}[.-])\d{4}"
 )
+_WITH_BLANKS = r"\d{3} \d{3} \d{4}"
+# Blanks alone may as well separate numbers of a table: a word for telephones must stand in front.
+_AFTER_A_WORD = r"(?<=\b(?i:call|tel|phone|telephone|mobile|cell|fax)\b[.:]? {1,2})"
 _WITH_PLUS = r"\+[1-9](?:[ .-]?\(?\d\)?){6,14}(?!\d)"
 _MONTH, _DAY = r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
 _YEAR_FIRST = r"(?<![\d-])(?:19|20)\d{2}(?:" + "|".join(f"{mark}{_MONTH}{mark}{_DAY}" for mark in ("-", "/", r"\.")) + r")(?![\d-])"
@@ -44,14 +47,15 @@ _YEAR_LAST = (
 )
 # Fixed forms of the values, in the order in which they are tried at a place.
 FORMS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "phone": rf"(?<![\d+])(?:{_TEN_DIGITS}|{_WITH_PLUS})",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "phone": rf"(?<![\d+])(?:(?:{_TEN_DIGITS}|{_WITH_BLANKS})(?!\d)|{_WITH_PLUS})",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})(?!\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
     "date": rf"{_YEAR_FIRST}|{_YEAR_LAST}",
 }
-ANY = "|".join(f"(?:{form})" for form in FORMS.values())
+# The forms as they are searched for in a text.
+ANY = "|".join(f"(?:{form})" for form in FORMS.values()).replace(_WITH_BLANKS, _AFTER_A_WORD + _WITH_BLANKS)
 
 _DIGIT, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 

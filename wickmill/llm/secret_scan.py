@@ -21,10 +21,13 @@ row; ties on the grid are all in or all out; extra columns are ignored. Tokens t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickmill.llm.common import stored
+from wickmill.llm.pseudonyms import let
 
 # Fixed patterns of the base kinds, in the order of the kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -59,24 +62,74 @@ ALPHABETS = {
 }
 
 
+# Elements of one inner fold.
+CHUNK = 256
+
+
+def walk(items: Column, first: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column, Column], Column], kind: str) -> Column:
+    """An array of ``emit(state, next state, item)`` along ``items``, where ``step(state, item)`` gives the next state.
+
+    Folds go over chunks and, inside, over their items, so appending results costs little more than the results themselves.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(state: Column, item: Column) -> Column:
+        return let(
+            step(state["state"], item),
+            lambda s: F.struct(s.alias("state"), F.concat(state["out"], F.array(emit(state["state"], s, item))).alias("out")),
+        )
+
+    def outer(state: Column, k: Column) -> Column:
+        part = F.aggregate(F.slice(items, k * CHUNK + 1, CHUNK), F.struct(state["state"].alias("state"), none.alias("out")), inner)
+        return let(part, lambda p: F.struct(p["state"].alias("state"), F.concat(state["out"], p["out"]).alias("out")))
+
+    chunks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
+    walked = F.aggregate(chunks, F.struct(first.alias("state"), none.alias("out")), outer)["out"]
+    return F.when(F.size(items) > 0, walked).otherwise(none)
+
+
+SPANS = "struct<start:int,end:int,value:string>"
+
+
 def matches(text: Column, pattern: str) -> Column:
     """start, end and value of every leftmost, non-overlapping match: what lies between matches gives the places."""
-    between = F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-
-    def step(state: Column, k: Column) -> Column:
-        start = state["at"] + F.length(F.get(between, k))
-        end = start + F.length(F.get(values, k))
-        return F.struct(
-            end.alias("at"),
-            F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(values, k).alias("value")))).alias("spans"),
+    none = F.array().cast(f"array<{SPANS}>")
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    pieces = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+
+    def span(at: Column, end: Column, piece: Column) -> Column:
+        return F.struct((at + piece["gap"]).alias("start"), end.alias("end"), piece["value"].alias("value"))
+
+    # There is one gap more than there are matches.
+    held = F.filter(pieces, lambda p: p["value"].isNotNull())
+    found = let(held, lambda items: walk(items, F.lit(0), lambda at, p: at + p["gap"] + F.length(p["value"]), span, SPANS))
+    return F.when(text.rlike(pattern), found).otherwise(none)
+
+
+def apart(tokens: Column, taken: Column) -> Column:
+    """Tokens that share no character with a taken span, by one walk over all spans in order."""
+
+    def labelled(spans: Column, is_token: bool) -> Column:
+        return F.transform(
+            spans,
+            lambda s: F.struct(s["start"].alias("start"), F.lit(is_token).alias("token"), s["end"].alias("end"), s["value"].alias("value")),
         )
 
-    first = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    numbers = F.sequence(F.lit(0), F.size(values) - 1)
-    walked = F.when(F.size(values) > 0, F.aggregate(numbers, first, step)["spans"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    both = F.array_sort(F.concat(labelled(tokens, True), labelled(taken, False)))
+
+    def free(items: Column) -> Column:
+        # Each span with what comes next; tokens do not overlap each other, so an overlapping neighbour is a taken span.
+        paired = F.transform(items, lambda s, i: F.struct(s.alias("span"), F.get(items, i + 1)["start"].alias("next")))
+        covered = lambda end, s: F.when(s["span"]["token"], end).otherwise(F.greatest(end, s["span"]["end"]))
+
+        def judge(end: Column, _: Column, s: Column) -> Column:
+            span = s["span"]
+            good = span["token"] & (end <= span["start"]) & F.coalesce(s["next"] >= span["end"], F.lit(True))
+            return F.when(good, F.struct(span["start"].alias("start"), span["end"].alias("end"), span["value"].alias("value")))
+
+        return F.filter(let(paired, lambda all_: walk(all_, F.lit(0), covered, judge, SPANS)), lambda s: s.isNotNull())
+
+    return F.when(F.size(taken) == 0, tokens).otherwise(let(both, free))
 
 
 def _keyed(spans: Column, kind: str) -> Column:
@@ -91,9 +144,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
         "doc_id", assigned.alias("assign"), matches(F.col("text"), ACCESS).alias("access"), matches(F.col("text"), HEX).alias("hex"),
         matches(F.col("text"), TOKEN).alias("tokens"),
     )
-    taken = F.concat("assign", "access", "hex")
-    free = F.filter("tokens", lambda t: ~F.exists(taken, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return found.withColumn("tokens", free)
+    return found.withColumn("tokens", apart(F.col("tokens"), F.concat("assign", "access", "hex")))
 
 
 def _upper_tail(z: Column) -> Column:
