@@ -387,22 +387,23 @@ def edits(a: bytes, b: bytes) -> int:
 
 def test_line_links_and_verdicts_equal_brute_force(spark):
     rng = random.Random(7)
-    pool = ["".join(rng.choices("abcé ", k=rng.randrange(44, 90))) for _ in range(30)]
+    pool = ["".join(rng.choices("abcé ", k=rng.randrange(44, 90))) for _ in range(30)] + ["ok", "And so on.", "", " \t", " " * 60]
 
     def bent(line):
         s = list(line)
-        for _ in range(rng.randrange(4)):
+        for _ in range(rng.randrange(4) if len(line) > 20 else 0):
             at = rng.randrange(len(s))
             rng.choice([lambda: s.pop(at), lambda: s.insert(at, "z"), lambda: s.__setitem__(at, "y")])()
         return "".join(s)
 
     texts = ["\n".join(bent(rng.choice(pool)) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
-    rows = [(d, n, line) for d, t in enumerate(texts) for n, line in enumerate(t.split("\n"), 1) if len(line.encode()) >= line_dedup.MIN_BYTES]
+    rows = [(d, n, line) for d, t in enumerate(texts) for n, line in enumerate(t.split("\n"), 1) if len(line.encode()) >= 48 or line.strip(" \t")]
     first, copies = {}, Counter()
     for d, n, line in rows:
         first.setdefault(line, (d, n))
         copies[line] += 1
-    near = {x: [y for y in first if y != x and edits(x.encode(), y.encode()) <= line_dedup.EDITS] for x in first}
+    long = [x for x in first if len(x.encode()) >= 48]
+    near = {x: [y for y in long if x in long and y != x and edits(x.encode(), y.encode()) <= line_dedup.EDITS] for x in first}
     wanted = {
         (d, n): (*first[x], copies[x], len(near[x]), first[x] == (d, n) and all(first[y] > first[x] for y in near[x])) for d, n, x in rows
     }
@@ -413,7 +414,7 @@ def test_line_links_and_verdicts_equal_brute_force(spark):
     assert got == wanted and sum(v[3] > 0 for v in wanted.values()) > 30
     left = {d: [x for n, x in enumerate(t.split("\n"), 1) if wanted.get((d, n), (0, 0, 0, 0, True))[4]] for d, t in enumerate(texts)}
     kept = by_id(line_dedup.drop_lines(frame(spark, texts)))
-    assert {d: r["text"] for d, r in kept.items()} == {d: "\n".join(x) for d, x in left.items() if "".join(x).strip()}
+    assert {d: r["text"] for d, r in kept.items()} == {d: "\n".join(x) for d, x in left.items() if "".join(x).strip() or "\n".join(x) == texts[d]}
     assert all(r["n_chars"] == len(r["text"]) for r in kept.values())
 
 
@@ -424,7 +425,7 @@ def test_stage_drops_exact_copies_of_short_lines(spark):
     kept = by_id(corpus_pipeline.lines(spark, docs, ""))
     assert {d: r["text"] for d, r in kept.items()} == {0: texts[0], 1: "first\n\nAnd so it ends", 2: "ok", 4: None}
     assert kept[1]["n_chars"] == len(kept[1]["text"])
-    assert by_id(line_dedup.drop_lines(docs))[3]["text"] == texts[3]
+    assert by_id(line_dedup.drop_lines(docs, short_copies=False))[3]["text"] == texts[3]
 
 
 # -- 7 quality ---------------------------------------------------------------------------------------------------

@@ -26,14 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write a table into the shared folder and read it again.
 
     Cuts the lineage without depending on any executor's disk, and keeps a costly step from running twice.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark, name).rstrip('/')}/table"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
