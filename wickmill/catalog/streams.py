@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from wickmill.catalog import inputs as I
 from wickmill.catalog.registry import query
 from wickmill.catalog.writes import stored_tiers
 from wickmill.functions.time import floor_to
+from wickmill.operators.rollup import rollup
 from wickmill.plans.refresh import base_path, read_coverage, refresh_coverage, refresh_days, refresh_touched, staging_path
 from wickmill.plans.repair import page_quarantine, refresh_ledger, repair_from_pages, repair_ledger, scan_gaps
 from wickmill.schemas import OHLCV, REFRESH_JOB, REPAIR_JOB
@@ -16,28 +19,46 @@ from wickmill.sources.klines import stream_messages
 from wickmill.sources.ledgers import read_ledger
 from wickmill.sources.tables import insert_ignore, read_candles, stored_days, write_candles
 from wickmill.streaming.live import LiveTarget, read_audit, start_live_ingest
-from wickmill.streaming.rollup import read_tier_log, start_tier_log, stream_rollup
+from wickmill.streaming.rollup import compact_tier_log, read_tier_log, settle_late, start_tier_log, stream_rollup
 
-_TICK = """SELECT event_type AS asset_id, ts AS "timestamp", value AS open, value AS high, value AS low, value AS close,
-                  1.0::DOUBLE AS volume FROM events"""
+_DELAY = timedelta(hours=1)
+_LANDINGS = 5
 
 
-@query("stream_rollup_1h", I.rollup_sql(_TICK, "1 hour"))
-def stream_rollup_1h(spark, sf_dir):
-    """Hourly buckets kept current over the event file as a stream of one-trade candles."""
-    schema = I.table(spark, sf_dir, "events").schema
-    ticks = (
-        spark.readStream.schema(schema)
-        .parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
-        .select(
-            F.col("event_type").alias("asset_id"),
-            F.col("ts").cast("timestamp").alias("timestamp"),
-            *[F.col("value").alias(c) for c in OHLCV[:4]],
-            F.lit(1.0).alias("volume"),
-        )
+def _arrivals(spark, sf_dir):
+    """Candles as they come in: on time; some again ten minutes later; some days late, twice; some on time and once more days later."""
+    minute = F.unix_seconds("timestamp") / 60
+    kinds = (
+        F.when(minute % 7 == 0, F.array(F.lit(60), F.lit(660)))
+        .when(minute % 11 == 0, F.array(F.lit(3 * 86400), F.lit(3 * 86400 + 60)))
+        .when(minute % 13 == 0, F.array(F.lit(60), F.lit(2 * 86400)))
+        .otherwise(F.array(F.lit(60)))
     )
+    rows = I.type_candles(spark, sf_dir).withColumn("_after", F.explode(kinds))
+    arrived = F.timestamp_seconds(F.unix_seconds("timestamp") + F.col("_after"))
+    number = F.xxhash64("asset_id", "timestamp", "_after")
+    return rows.select("*", arrived.alias("arrived_at"), number.alias("arrival_seq")).drop("_after")
+
+
+@query("stream_rollup_1h", I.rollup_sql(I.TYPE_CANDLES, "1 hour"))
+def stream_rollup_1h(spark, sf_dir):
+    """Hourly buckets of a stateful stream over five landings with redelivered and very late candles, settled and compacted by day."""
     out = scratch_dir(spark, "stream-rollup")
-    start_tier_log(stream_rollup(ticks, "1h"), f"{out}/log", f"{out}/checkpoint", available_now=True).awaitTermination()
+    # Written once, so that every landing is cut from the same rows.
+    _arrivals(spark, sf_dir).write.parquet(f"{out}/arrivals")
+    arrivals = spark.read.parquet(f"{out}/arrivals")
+    first, last = arrivals.agg(F.min(F.unix_seconds("arrived_at")), F.max(F.unix_seconds("arrived_at"))).first()
+    if first is None:
+        return rollup(I.type_candles(spark, sf_dir), "1h")
+    part = F.floor((F.unix_seconds("arrived_at") - first) * _LANDINGS / (last - first + 1))
+    for k in range(_LANDINGS):
+        arrivals.where(part == k).write.mode("append").parquet(f"{out}/landed")
+        stream = spark.readStream.schema(arrivals.schema).parquet(f"{out}/landed")
+        rolled = stream_rollup(stream, "1h", delay=_DELAY)
+        start_tier_log(rolled, f"{out}/log", f"{out}/checkpoint", available_now=True).awaitTermination()
+    settle_late(spark, f"{out}/log", I.type_candles(spark, sf_dir), "1h", _DELAY, _NOW + timedelta(days=30))
+    for day in stored_days(spark, f"{out}/log")[:2]:
+        compact_tier_log(spark, f"{out}/log", day)
     return read_tier_log(spark, f"{out}/log")
 
 
