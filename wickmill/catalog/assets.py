@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickmill.catalog import inputs as I
 from wickmill.catalog.registry import query
 from wickmill.functions.symbols import normalize_symbol, stream_interval, stream_name, stream_symbol
 from wickmill.operators import assets as A
+from wickmill.operators.dedup import split_by_age
 from wickmill.operators.shards import shard_members, shard_sizes, symbols_of_shard, with_shard
+from wickmill.plans.purge import purge_assets, read_table, stored_tables
+from wickmill.plans.refresh import base_path, refresh_coverage, staging_path
+from wickmill.plans.repair import repair_ledger
+from wickmill.schemas import REPAIR_JOB
+from wickmill.session import scratch_dir
+from wickmill.sources.ledgers import append_states
+from wickmill.sources.tables import stored_days, write_candles
 
 _VIEW = "id, symbol, exchange, asset_type, is_active"
 
@@ -106,21 +117,54 @@ def asset_exists(spark, sf_dir):
     return A.with_known_asset(I.user_candles(spark, sf_dir), A.active_assets(I.assets(spark, sf_dir)))
 
 
-@query(
-    "orphan_audit",
-    f"""
-    SELECT 'candles' AS table_name, asset_id, count(*) AS "rows" FROM ({I.USER_CANDLES})
-    WHERE asset_id NOT IN (SELECT id FROM {_CLOSED}) GROUP BY ALL
-    UNION ALL
-    SELECT 'repair_jobs', asset_id, count(*) FROM ({I.JOBS})
-    WHERE asset_id NOT IN (SELECT id FROM {_CLOSED}) GROUP BY ALL
-    """,
-)
+_STAGED = """"timestamp" < TIMESTAMP '2024-01-21'"""
+_DAY_RANGES = f"""
+    SELECT asset_id, date_trunc('day', "timestamp") AS day, sum(CASE WHEN d <= INTERVAL 1 MINUTE THEN 0 ELSE 1 END) AS ranges
+    FROM (SELECT asset_id, "timestamp", "timestamp" - lag("timestamp") OVER (
+              PARTITION BY asset_id, date_trunc('day', "timestamp") ORDER BY "timestamp") AS d FROM ({I.USER_CANDLES}))
+    GROUP BY ALL"""
+
+
+def _asset_rows_sql(condition: str) -> str:
+    """Rows of each table and asset for which the condition holds."""
+    return f"""
+        SELECT 'candles' AS table_name, asset_id, count(*) AS "rows" FROM ({I.USER_CANDLES})
+        WHERE NOT ({_STAGED}) AND {condition} GROUP BY ALL
+        UNION ALL SELECT 'staging', asset_id, count(*) FROM ({I.USER_CANDLES}) WHERE {_STAGED} AND {condition} GROUP BY ALL
+        UNION ALL SELECT 'coverage', asset_id, CAST(sum(ranges) AS BIGINT) FROM ({_DAY_RANGES}) WHERE {condition} GROUP BY ALL
+        UNION ALL SELECT 'repair_jobs', asset_id, count(*) FROM ({I.JOBS}) WHERE {condition} GROUP BY ALL"""
+
+
+def _store(spark, sf_dir) -> str:
+    """Candles, staging, coverage and a repair ledger as stored tables; returns their root."""
+    root = scratch_dir(spark, "assets")
+    live, old = split_by_age(I.user_candles(spark, sf_dir), I.utc(2024, 1, 28))
+    write_candles(live, base_path(root))
+    write_candles(old, staging_path(root))
+    refresh_coverage(spark, root, {*stored_days(spark, base_path(root)), *stored_days(spark, staging_path(root))})
+    append_states(I.jobs(spark, sf_dir), REPAIR_JOB, repair_ledger(root), "orders", I.utc(2024, 1, 28))
+    return root
+
+
+@query("orphan_audit", _asset_rows_sql(f"asset_id NOT IN (SELECT id FROM {_CLOSED})"))
 def orphan_audit(spark, sf_dir):
-    tables = {"candles": I.user_candles(spark, sf_dir), "repair_jobs": I.jobs(spark, sf_dir)}
+    """Orphaned rows of all four stored tables."""
+    tables = {name: read_table(spark, path, schema) for name, (path, schema, _) in stored_tables(_store(spark, sf_dir)).items()}
     return A.orphan_audit(tables, A.active_assets(I.assets(spark, sf_dir)))
 
 
+@query("orphan_cascade", _asset_rows_sql(f"asset_id IN (SELECT id FROM {_CLOSED})"))
+def orphan_cascade(spark, sf_dir):
+    """What all four stored tables hold after the assets' deletion has taken its rows with it."""
+    root = _store(spark, sf_dir)
+    purge_assets(spark, root, A.active_assets(I.assets(spark, sf_dir)))
+    counted = [
+        read_table(spark, path, schema).groupBy("asset_id").agg(F.count("*").alias("rows")).withColumn("table_name", F.lit(name))
+        for name, (path, schema, _) in stored_tables(root).items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query(
     "orphan_purge",
     f"""SELECT id, asset_id, start_time, end_time, status FROM ({I.JOBS})

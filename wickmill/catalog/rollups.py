@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wickmill.catalog import inputs as I
 from wickmill.catalog.registry import query
 from wickmill.functions.time import align_end, align_start, time_bucket
-from wickmill.operators.rollup import all_tiers, rollup, rollup_cascade, rollup_settled, touched_rows
+from wickmill.operators.rollup import all_tiers, rollup, rollup_cascade, rollup_settled_tiers, touched_rows
 from wickmill.timeframes import ROLLUP_TIERS
 
 
@@ -44,12 +44,8 @@ _HORIZON = I.utc(2024, 1, 20, 10, 37)
     ),
 )
 def rollup_horizon(spark, sf_dir):
-    candles = I.type_candles(spark, sf_dir)
-    parts = [rollup_settled(candles, t, _HORIZON).withColumn("tier", F.lit(t)) for t in ROLLUP_TIERS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """All tiers up to their horizons in one scan."""
+    return rollup_settled_tiers(I.type_candles(spark, sf_dir), _HORIZON)
 
 
 @query(

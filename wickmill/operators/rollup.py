@@ -66,9 +66,18 @@ def settled_before(tier: str, as_of: datetime) -> datetime:
     return epoch + (limit - epoch) // width * width
 
 
-def rollup_settled(candles: DataFrame, tier: str, as_of: datetime, keys: Sequence[str] = KEYS) -> DataFrame:
-    """A tier up to its refresh horizon. The bound filters base rows, so it reaches the scan."""
-    return rollup(candles.where(F.col("timestamp") < F.lit(settled_before(tier, as_of))), tier, keys)
+def rollup_settled_tiers(candles: DataFrame, as_of: datetime, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Every tier up to its own refresh horizon, from one pass, with a ``tier`` column.
+
+    A horizon lies on a bucket edge of its tier, so what a coarser tier leaves out are whole buckets. The latest horizon bounds the scan.
+    """
+    horizons = {tier: settled_before(tier, as_of) for tier in ROLLUP_TIERS}
+    held = candles.where(F.col("timestamp") < F.lit(max(horizons.values())))
+    settled = [
+        df.where(F.col("timestamp") < F.lit(horizons[tier])).withColumn("tier", F.lit(tier))
+        for tier, df in rollup_cascade(held, keys).items()
+    ]
+    return reduce(DataFrame.unionByName, settled)
 
 
 def touched_days(windows: DataFrame, start: str = "window_start", end: str = "window_end") -> DataFrame:
