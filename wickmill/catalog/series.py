@@ -68,12 +68,11 @@ def dead_letters(spark, sf_dir):
 @query(
     "message_report",
     f"""SELECT CASE WHEN value < 1 THEN NULL WHEN value < 2 THEN 'unknown' ELSE event_type END AS actor_name,
-               count(*) AS messages, {_AGE.format(ok="value >= 1")} AS oldest_age_seconds
+               count(*) AS messages, coalesce({_AGE.format(ok="value >= 1")}, 0.0) AS oldest_age_seconds
         FROM events GROUP BY 1""",
 )
 def message_counts(spark, sf_dir):
-    report = message_report(dead_letters(spark, sf_dir), _NOW)
-    return report.withColumn("oldest_age_seconds", F.when(F.col("actor_name").isNotNull(), F.col("oldest_age_seconds")))
+    return message_report(dead_letters(spark, sf_dir), _NOW)
 
 
 @query(

@@ -39,7 +39,7 @@ def candles(
     """
     start, end = check_window(tier, start, end, mode)
     if assets is not None and assets.where(F.col("id") == asset_id).isEmpty():
-        raise AssetNotFound(f"Asset with id {asset_id} not found")
+        raise AssetNotFound(f"The registry has no asset {asset_id}")
     rows = read_candles(spark, tier_path(root, tier), start, end, asset_id)
     return candle_view(rows).orderBy("timestamp")
 

@@ -29,7 +29,7 @@ def tier_seconds(tier: str) -> int:
     try:
         return TIER_SECONDS[tier]
     except KeyError:
-        raise UnsupportedTimeframe(f"Unsupported timeframe: {tier}") from None
+        raise UnsupportedTimeframe(f"There is no tier {tier!r}; known are {', '.join(TIER_SECONDS)}") from None
 
 
 def tier_path(root: str, tier: str) -> str:
