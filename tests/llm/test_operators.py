@@ -614,7 +614,9 @@ def test_base_spans_equal_brute_force_and_random_tokens_are_added(spark):
 def test_discovery_lines_equal_the_step_up_rule(spark):
     rng = random.Random(12)
     cells = [min(1000, int(rng.expovariate(0.05))) for _ in range(500)]
-    tested = spark.createDataFrame([(k % 2, c) for k, c in enumerate(cells)], "stratum int, cell int")
+    rows = [(k % 2, c, str(k)) for k, c in enumerate(cells)]
+    # Copies of a token do not count.
+    tested = spark.createDataFrame(rows + rows[:50] * 3, "stratum int, cell int, digest string")
     got = {r["stratum"]: r["least_cell"] for r in secret_scan.discovery_lines(tested).collect()}
     for s in (0, 1):
         ps = sorted(math.exp(-c / secret_scan.STEP) for c in cells[s::2])
@@ -623,6 +625,105 @@ def test_discovery_lines_equal_the_step_up_rule(spark):
         assert got.get(s) == wanted
 
 
+def _tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def slow_tests(value):
+    """Both sides of the three tests in plain Python."""
+    body = value.rstrip("=")
+    alphabet = next(a for a in secret_scan.ALPHABETS.values() if set(body) <= set(a))
+    n, k = len(body), len(alphabet)
+    x = [alphabet.index(c) for c in body]
+    chi = sum((x.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+    df = k - 1
+    z_chi = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    above = [v >= k / 2 for v in x]
+    n_1 = sum(above)
+    n_2 = n - n_1
+    runs = 1 + sum(a != b for a, b in zip(above, above[1:]))
+    var = 2 * n_1 * n_2 * (2 * n_1 * n_2 - n) / (n * n * (n - 1))
+    z_runs = (runs - 1 - 2 * n_1 * n_2 / n) / math.sqrt(var) if var > 0 else 9.0
+    mid = (k - 1) / 2
+    z_serial = sum((a - mid) * (b - mid) for a, b in zip(x, x[1:])) / ((k * k - 1) / 12) / math.sqrt(n - 1)
+    ps = [min(max(p, 1e-12), 1 - 1e-12) for p in (_tail(z_chi), 2 * _tail(abs(z_runs)), 2 * _tail(abs(z_serial)))]
+    p_random = 0.5 - math.atan(sum(math.tan((0.5 - p) * math.pi) for p in ps) / 3) / math.pi
+
+    share = {c: m / sum(secret_scan.LETTERS) for c, m in zip("abcdefghijklmnopqrstuvwxyz", secret_scan.LETTERS)}
+    kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    part = lambda c: (1, 1, 10, 4)[kind(c)]
+    letter = lambda c: share.get(c.lower(), 1.0)
+    best = max(sum(math.log(s[kind(c)] / part(c) * letter(c)) for c in body) for s in secret_scan.STYLES.values())
+    uniform = -n * math.log(k) - best
+    counts = lambda a, b: a != b and 3 not in (a, b) and (a, b) != (1, 0)
+    seen = sum(counts(kind(a), kind(b)) for a, b in zip(body, body[1:]))
+    rate = sum(counts(kind(a), kind(b)) for a in alphabet for b in alphabet) / k**2
+    most = secret_scan.CHANGES
+    switching = seen * math.log(rate / most) + (n - 1 - seen) * math.log((1 - rate) / (1 - most)) if rate > most else 0.0
+    vowels = sum(share[v] for v in secret_scan.VOWELS)
+    serial = uniform
+    for before, c in zip(body, body[1:]):
+        if before.isalpha() and c.isalpha():
+            after = secret_scan.VOWEL_AFTER[before.lower() not in secret_scan.VOWELS]
+            is_vowel = c.lower() in secret_scan.VOWELS
+            serial -= math.log(after / vowels if is_vowel else (1 - after) / (1 - vowels))
+    joined = sum(math.exp(e) for e in (uniform, switching, serial)) / 3 / len(secret_scan.ALPHABETS)
+    return p_random, min(0.0, -math.log(joined))
+
+
+def random_tokens(rng, alphabet, n, size):
+    return ["".join(rng.choices(secret_scan.ALPHABETS[alphabet], k=size)) for _ in range(n)]
+
+
+def ordinary_tokens(rng, n):
+    """Words of running text joined in the usual ways."""
+    words = (
+        "the quick reader opened a large window before evening because nobody wanted to leave the garden without saying "
+        "goodbye international configuration manager service request handler document parser output directory example "
+        "temporary account customer address update version release history project language training corpus quality "
+        "zusammenfassung verwaltung einstellungen benutzer geschichte wissenschaft gesellschaft entwicklung "
+        "aujourdhui administration bibliotheque developpement gouvernement environnement"
+    ).split()
+    found = set()
+    while len(found) < n:
+        some = rng.choices(words, k=rng.randrange(3, 7))
+        style = rng.randrange(5)
+        token = ("".join(some), "-".join(some), "_".join(some).upper(), "".join(w.title() for w in some), "/".join(some) + f"/{rng.randrange(2030)}")[style]
+        if len(token) >= secret_scan.MIN_TOKEN:
+            found.add(token)
+    return sorted(found)
+
+
+def test_both_sides_of_the_tests_equal_plain_python(spark):
+    rng = random.Random(21)
+    values = [v for a in secret_scan.ALPHABETS for v in random_tokens(rng, a, 6, rng.choice([20, 33, 64]))] + ordinary_tokens(rng, 60) + ["a" * 24, "Zz" * 15 + "=="]
+    got = {r["value"]: r for r in secret_scan.test_tokens(spark.createDataFrame([(v,) for v in values], "value string")).collect()}
+    for value in values:
+        p_random, log_p_text = slow_tests(value)
+        assert abs(got[value]["p_random"] - p_random) < 1e-5
+        assert abs(got[value]["log_p_text"] - log_p_text) < 1e-6
+
+
+def test_secrets_of_every_encoding_are_found_among_ordinary_tokens(spark):
+    rng = random.Random(22)
+    planted = {
+        (a, size): random_tokens(rng, a, 50, size)
+        for a, size in (("lower", 40), ("upper", 40), ("base32", 32), ("base36", 32), ("base62", 24), ("base64", 24), ("base64", 40))
+    }
+    ordinary = ordinary_tokens(rng, 3000)
+    tokens = [(key, v) for key, values in planted.items() for v in values]
+    # One ordinary token holds a third of all rows.
+    texts = [f"so {v} it" for _, v in tokens] + [f"or {v} is" for v in ordinary] + [f"or {ordinary[0]} is"] * 1500
+    got = by_id(secret_scan.scan(frame(spark, texts)))
+    hits = {key: 0 for key in planted}
+    for k, (key, _) in enumerate(tokens):
+        hits[key] += got[k]["n_random"]
+    false = sum(got[k]["n_random"] for k in range(len(tokens), len(tokens) + len(ordinary)))
+    print(hits, false)
+    assert all(n >= 45 for n in hits.values())
+    assert false <= secret_scan.FALSE_SHARE * (false + sum(hits.values()))
+
+
 # -- many and long candidates ------------------------------------------------------------------------------------
 
 

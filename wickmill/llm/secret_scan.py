@@ -4,16 +4,21 @@ Base kinds (fixed patterns): ``assign`` (a key word, a sign and a value), ``acce
 in code points, end exclusive.
 
 The method adds kind ``random``. A token is a run of at least ``MIN_TOKEN`` letters, digits, ``+ / _ -`` with optional ``=`` at
-its end. Its encoding is the smallest alphabet that holds it (decimal, hexadecimal, base 32, lower base 36, base 62, base 64). Three tests
-ask whether its characters look drawn at random from that alphabet: chi-squared for uniform use, the number of runs above and
-below the middle, and the correlation of neighbours; their p-values are joined by the Cauchy combination. A token stays if
-randomness is not refused at ``REFUSE``.
-
-The other side is the hypothesis that the token is ordinary text, whose digits and changes of letter class are rare (``ORDINARY``); its
-p-value is a Chernoff bound on the numbers seen, so it is never too small. Long tokens reach far smaller values than short ones, so discoveries
-are controlled within strata of length: the Benjamini-Hochberg line at ``FALSE_SHARE`` is drawn in each stratum over all
-tokens of the corpus. For that only counts on a fixed grid of log p are shuffled; the grid's upper edges stand for the p-values,
-which keeps the bound on the safe side.
+its end. Its encoding is the smallest alphabet that holds it (decimal, hexadecimal, letters of one case, base 32, lower base 36, base
+62, base 64). Three tests look at it: uniform use of the alphabet, runs, and the dependence of neighbours. Each has two sides.
+
+- *Against randomness*: chi-squared for uniform use, the number of runs above and below the middle, the correlation of
+  neighbours; their p-values are joined by the Cauchy combination. A token stays if randomness is not refused at ``REFUSE``.
+- *Against ordinary text*: the same three features as likelihood ratios of the random token to an ordinary one. Uniformity:
+  symbol counts under equal shares against letter shares of running text, in the likeliest of a few ``STYLES`` of writing.
+  Runs: changes of character class, where a capital that opens a word counts once. Neighbours: each symbol given the one before it, as vowels and
+  consonants alternate in text and not in a key. Under ordinary text each ratio has expectation 1 at most; so has their mean, divided by
+  the number of encodings as the encoding was picked from the token. Its inverse is thus a p-value.
+
+These p-values go into the step-up rule. Long tokens reach far smaller ones than short tokens, so discoveries are controlled within
+strata of length: the Benjamini-Hochberg line at ``FALSE_SHARE`` is drawn in each stratum over all different tokens of the corpus,
+however often each is copied. For that only counts on a fixed grid of log p are shuffled; the grid's upper edges stand for the
+p-values, which keeps the bound on the safe side. Digits alone are ordinary (a style), so a random number is not reported.
 
 Everything is DataFrame functions. Defined cases: null text counts as empty, no spans; repeated rows and equal ids are judged row by
 row; ties on the grid are all in or all out; extra columns are ignored. Tokens that overlap a base span are left to it.
@@ -21,6 +26,7 @@ row; ties on the grid are all in or all out; extra columns are ignored. Tokens t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,8 +46,21 @@ MIN_TOKEN = 20
 TOKEN = rf"[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}={{0,2}}"
 REFUSE = 0.001
 FALSE_SHARE = 0.05
-# Share of digits, and of changes between lower case, upper case and digits, in ordinary long tokens.
-ORDINARY = (0.03, 0.10)
+# Letters in running text of European languages, per mille, a to z, rounded.
+LETTERS = (80, 15, 30, 42, 140, 16, 18, 40, 72, 5, 10, 48, 27, 72, 62, 24, 6, 65, 66, 72, 42, 14, 14, 4, 10, 8)
+VOWELS = "aeiouy"
+# Share of vowels after a vowel, and after a consonant.
+VOWEL_AFTER = (0.2, 0.5)
+# Styles of ordinary tokens: shares of small letters, capitals, digits and separators.
+STYLES = {
+    "words": (0.90, 0.03, 0.03, 0.04),
+    "camel": (0.74, 0.14, 0.04, 0.08),
+    "capitals": (0.03, 0.90, 0.03, 0.04),
+    "slug": (0.45, 0.05, 0.35, 0.15),
+    "number": (0.05, 0.05, 0.80, 0.10),
+}
+# Greatest share of class changes between neighbours in ordinary tokens.
+CHANGES = 0.25
 # First lengths of the strata.
 STRATA = (20, 24, 32, 48, 64, 128)
 # The grid of -ln p: steps of 1/8 up to 125.
@@ -53,6 +72,8 @@ ALPHABETS = {
     "decimal": _DIGITS,
     "hex": _DIGITS + "abcdef",
     "HEX": _DIGITS + "ABCDEF",
+    "lower": _LOWER,
+    "upper": _UPPER,
     "base32": _UPPER + "234567",
     "base36": _DIGITS + _LOWER,
     "base62": _UPPER + _LOWER + _DIGITS,
@@ -163,7 +184,7 @@ def encoding(value: Column) -> Column:
 
 
 def test_tokens(tokens: DataFrame) -> DataFrame:
-    """``tokens(value, ...)`` with ``p_random`` (the joined tests) and ``p_text`` (the bound for ordinary text)."""
+    """``tokens(value, ...)`` with ``p_random`` (the tests against randomness) and ``log_p_text`` (those against ordinary text)."""
     body = F.regexp_replace("value", "=+$", "")
     alphabet = F.coalesce(*(F.when(F.col("encoding") == name, F.lit(a)) for name, a in ALPHABETS.items()))
     chars = F.filter(F.split(body, ""), lambda c: c != "")
@@ -193,25 +214,76 @@ def test_tokens(tokens: DataFrame) -> DataFrame:
     cauchy = sum((F.tan((0.5 - p) * F.lit(3.141592653589793)) for p in tests[1:]), F.tan((0.5 - tests[0]) * F.lit(3.141592653589793))) / 3
     p_random = 0.5 - F.atan(cauchy) / F.lit(3.141592653589793)
 
-    kind = lambda c: F.when(c.between("0", "9"), 0).when(c.between("A", "Z"), 1).when(c.between("a", "z"), 2).otherwise(3)
-    kinds = F.transform("_chars", kind)
-    digits = total(F.transform(kinds, lambda c: (c == 0).cast("double")))
-    # Separators divide words, so a change counts only between letters and digits.
-    change = lambda i: ((F.get(kinds, i) != F.get(kinds, i + 1)) & (F.get(kinds, i) != 3) & (F.get(kinds, i + 1) != 3)).cast("double")
-    changes = total(F.transform(pairs, change))
+    log_e = _against_text(n, k)
+    return (
+        placed.withColumn("p_random", p_random).withColumn("_kinds", F.transform("_chars", _class)).withColumn("_vowels", F.transform("_chars", _vowel))
+        .withColumn("log_p_text", F.least(-log_e, F.lit(0.0)))
+        .drop("_alphabet", "_chars", "_n", "_k", "_x", "_kinds", "_vowels")
+    )
+
 
-    def bound(seen: Column, of: Column, p: float) -> Column:
-        """Chernoff: at least ``seen`` of ``of`` at rate p or less, as a log."""
-        share = F.least(seen / of, F.lit(1 - 1e-9))
-        apart = share * F.log(share / F.lit(p)) + (1 - share) * F.log((1 - share) / F.lit(1 - p))
-        return F.when(share > p, -of * apart).otherwise(F.lit(0.0))
+def _class(c: Column) -> Column:
+    """0 small letter, 1 capital, 2 digit, 3 separator."""
+    return F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1).when(c.between("0", "9"), 2).otherwise(3)
 
-    both = F.least(bound(digits, n, ORDINARY[0]), bound(changes, n - 1, ORDINARY[1])) + F.log(F.lit(2.0))
-    return (
-        placed.withColumn("p_random", p_random).withColumn("log_p_text", F.least(both, F.lit(0.0)))
-        .drop("_alphabet", "_chars", "_n", "_k", "_x")
+
+def _vowel(c: Column) -> Column:
+    """1 vowel, 0 consonant, null for what is no letter."""
+    return F.when(_class(c) < 2, F.lower(c).isin(*VOWELS).cast("int"))
+
+
+def _against_text(n: Column, k: Column) -> Column:
+    """Log of the joined likelihood ratio, from ``_chars``, ``_kinds``, ``_vowels``, length and size of the alphabet."""
+    kinds, vowels = F.col("_kinds"), F.col("_vowels")
+    whole = sum(LETTERS)
+    of_letter = F.array(*(F.lit(math.log(m / whole)) for m in LETTERS))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    log_letters = total(
+        F.transform("_chars", lambda c: F.coalesce(F.get(of_letter, F.call_function("instr", F.lit(_LOWER), F.lower(c)) - 1), F.lit(0.0)))
     )
 
+    def number_of(kind: int) -> Column:
+        return F.size(F.filter(kinds, lambda v: v == kind)).cast("double")
+
+    n_of = [number_of(kind) for kind in range(4)]
+
+    def style(shares: tuple[float, ...]) -> Column:
+        each = (shares[0], shares[1], shares[2] / 10, shares[3] / 4)
+        return sum((n_of[i] * math.log(p) for i, p in enumerate(each)), F.lit(0.0))
+
+    uniform = -n * F.log(k) - F.greatest(*map(style, STYLES.values())) - log_letters
+
+    pairs = F.sequence(F.lit(0), F.size(kinds) - 2)
+    # A capital and the small letter behind it are one word's opening; separators divide words.
+    change = lambda a, b: (a != b) & (a != 3) & (b != 3) & ~((a == 1) & (b == 0))
+    changes = total(F.transform(pairs, lambda i: change(F.get(kinds, i), F.get(kinds, i + 1)).cast("double")))
+    rates = F.coalesce(*(F.when(F.col("encoding") == name, F.lit(_change_rate(a))) for name, a in ALPHABETS.items()))
+    runs = changes * F.log(rates / CHANGES) + (n - 1 - changes) * F.log((1 - rates) / (1 - CHANGES))
+    runs = F.when(rates > CHANGES, runs).otherwise(F.lit(0.0))
+
+    vowel_share = sum(LETTERS[_LOWER.index(v)] for v in VOWELS) / whole
+
+    def neighbours(a: Column, b: Column) -> Column:
+        after = F.when(a == 1, F.lit(VOWEL_AFTER[0])).otherwise(F.lit(VOWEL_AFTER[1]))
+        said = F.when(b == 1, after / vowel_share).otherwise((1 - after) / (1 - vowel_share))
+        return F.when(a.isNotNull() & b.isNotNull(), F.log(said)).otherwise(F.lit(0.0))
+
+    chain = total(F.transform(pairs, lambda i: neighbours(F.get(vowels, i), F.get(vowels, i + 1))))
+    # Each symbol given the one before it.
+    serial = uniform - chain
+
+    def joined(parts: Column) -> Column:
+        top = F.array_max(parts)
+        return top + F.log(total(F.transform(parts, lambda e: F.exp(e - top))) / 3) - math.log(len(ALPHABETS))
+
+    return let(F.array(uniform, runs, serial), joined)
+
+
+def _change_rate(alphabet: str) -> float:
+    """Share of neighbours that count as a change where symbols are drawn evenly from the alphabet."""
+    shares = [sum(c in part for c in alphabet) / len(alphabet) for part in (_LOWER, _UPPER, _DIGITS)]
+    return sum(shares) ** 2 - sum(p * p for p in shares) - shares[0] * shares[1]
+
 
 def _stratum(value: Column) -> Column:
     n = F.length(value)
@@ -224,8 +296,8 @@ def _cell(log_p: Column) -> Column:
 
 
 def discovery_lines(tested: DataFrame) -> DataFrame:
-    """stratum, least_cell: the Benjamini-Hochberg line of each stratum over all its tokens. Strata without one are left out."""
-    counted = tested.groupBy("stratum", "cell").agg(F.count("*").alias("n"))
+    """stratum, least_cell: the Benjamini-Hochberg line of each stratum over its different tokens (``digest``). Strata without one are left out."""
+    counted = tested.select("stratum", "cell", "digest").distinct().groupBy("stratum", "cell").agg(F.count("*").alias("n"))
     # Both windows hold at most CELLS + 1 rows of counts a stratum.
     whole = Window.partitionBy("stratum")
     above = whole.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -242,7 +314,8 @@ def scan(docs: DataFrame) -> DataFrame:
         test_tokens(tokens)
         .withColumn("stratum", _stratum(F.col("value")))
         .withColumn("cell", _cell(F.col("log_p_text")))
-        .select("row", "start", "end", "p_random", "stratum", "cell"),
+        .withColumn("digest", F.md5("value"))
+        .select("row", "start", "end", "digest", "p_random", "stratum", "cell"),
         "secret-tokens",
     )
     chosen = (
