@@ -15,11 +15,13 @@ from wickmill.functions.time import ceil_to, chunk_of, day_start, seconds_betwee
 from wickmill.operators.intervals import overlapping_pairs, points_in_windows
 from wickmill.operators.ordered import (
     CHUNK,
+    CHUNK_ROWS,
     before,
     carried_max,
     join_across_chunks,
     running_max,
     up_to,
+    with_bounded_chunk,
     with_time_chunk,
 )
 from wickmill.timeframes import DAY_SECONDS, TIER_SECONDS
@@ -168,24 +170,33 @@ def with_block_id(
     return _with_run_start(stepped, keys, [time], opens, "block_start").drop(CHUNK, "_previous")
 
 
-def with_island_id(ranges: DataFrame, keys: Sequence[str] = KEYS, margin_seconds: int = MARGIN_SECONDS) -> DataFrame:
-    """Ranges with the start of the merged range they belong to."""
-    previous = with_previous_end(ranges, keys, keep_chunk=True)
+def with_island_id(
+    ranges: DataFrame, keys: Sequence[str] = KEYS, margin_seconds: int = MARGIN_SECONDS, rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Ranges with the start of the merged range they belong to. A day of more than ``rows`` ranges is cut by their number."""
+    previous = _previous_end(with_bounded_chunk(ranges, keys, START, rows=rows), keys)
     opens = F.col("previous_end").isNull() | (F.col(START) > shift("previous_end", margin_seconds))
     return _with_run_start(previous, keys, [START, END], opens, "island_start").drop(CHUNK)
 
 
-def with_previous_end(ranges: DataFrame, keys: Sequence[str] = KEYS, keep_chunk: bool = False) -> DataFrame:
+def _previous_end(chunked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return running_max(chunked, keys, [START, END], F.col(END), "previous_end")
+
+
+def with_previous_end(ranges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Ranges with the latest end among the ranges that start before them."""
-    out = running_max(with_time_chunk(ranges, START), keys, [START, END], F.col(END), "previous_end")
-    return out if keep_chunk else out.drop(CHUNK)
+    return _previous_end(with_time_chunk(ranges, START), keys).drop(CHUNK)
 
 
-def overlap_audit(ranges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Ranges that overlap an earlier range of their key, or occur more than once (closed ends)."""
+def overlap_audit(ranges: DataFrame, keys: Sequence[str] = KEYS, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Ranges that overlap an earlier range of their key, or occur more than once (closed ends).
+
+    A day of more than ``rows`` different ranges is cut by their number.
+    """
     folded = ranges.groupBy(*keys, START, END).agg(F.count("*").alias("copies"))
     overlaps = F.coalesce(F.col(START) <= F.col("previous_end"), F.lit(False))
-    return with_previous_end(folded, keys).where(overlaps | (F.col("copies") > 1))
+    previous = _previous_end(with_bounded_chunk(folded, keys, START, rows=rows), keys).drop(CHUNK)
+    return previous.where(overlaps | (F.col("copies") > 1))
 
 
 def inner_gaps(

@@ -3,7 +3,8 @@
 A plain ``Window.partitionBy(key)`` sends every row of a hot key to a single task. Here rows are
 windowed per ``(key, chunk)``, where a chunk is a slice of the ordering column (one day, by default).
 What must cross a chunk edge is carried by a summary with one row per ``(key, chunk)``; only that
-summary is windowed per key, so the largest group is the number of days in a key's history.
+summary is windowed per key, so the largest group is the number of days in a key's history. Where a slice itself can be hot,
+``with_bounded_chunk`` cuts it by the rows that it holds.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from wickmill.functions.time import chunk_of
 from wickmill.timeframes import DAY_SECONDS
 
 CHUNK = "_chunk"
+# A slice with more rows is cut further by ``with_bounded_chunk``.
+CHUNK_ROWS = 100_000
 
 
 def with_time_chunk(df: DataFrame, time: str, seconds: int = DAY_SECONDS) -> DataFrame:
@@ -24,6 +27,31 @@ def with_time_chunk(df: DataFrame, time: str, seconds: int = DAY_SECONDS) -> Dat
     return df.withColumn(CHUNK, chunk_of(time, seconds))
 
 
+def with_bounded_chunk(
+    df: DataFrame, keys: Sequence[str], time: str, seconds: int = DAY_SECONDS, rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Add a chunk number whose size follows the rows: slices of more than ``rows`` rows are cut where the rows are.
+
+    Rows are counted per second of the key, map-side. The seconds of a full slice are dealt in order to parts of ``rows`` rows,
+    so a part exceeds that by the rows of one second at most. Equal times share a chunk, chunks ascend with time, and the same
+    rows always get the same chunks. Only full slices meet the join, on the second, so that a hot slice is spread there too.
+    """
+    in_slice = Window.partitionBy(*keys, CHUNK)
+    counted = df.groupBy(*keys, chunk_of(time, seconds).alias(CHUNK), chunk_of(time, 1).alias("_second")).agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(before(in_slice.orderBy("_second"))), F.lit(0))
+    parts = (
+        counted.withColumn("_all", F.sum("_n").over(in_slice))
+        .where(F.col("_all") > rows)
+        .withColumn("_part", F.floor(ahead / rows))
+        .select(*keys, "_second", F.min("_second").over(Window.partitionBy(*keys, CHUNK, "_part")).alias("_cut"))
+    )
+    return (
+        df.withColumn("_second", chunk_of(time, 1))
+        .join(parts, [*keys, "_second"], "left")
+        .select(*df.columns, F.coalesce("_cut", chunk_of(time, seconds)).alias(CHUNK))
+    )
+
+
 def before(window: WindowSpec) -> WindowSpec:
     """The rows ahead of the current one."""
     return window.rowsBetween(Window.unboundedPreceding, -1)
@@ -63,6 +91,23 @@ def running_max(
     )
 
 
+def least_ahead(df: DataFrame, keys: Sequence[str], time: str, value: Column, out: str) -> DataFrame:
+    """The least ``value`` among a key's rows at the row's own time or later; nulls are passed over. Needs the chunk column."""
+    onward = Window.partitionBy(*keys, CHUNK).orderBy(F.col(time).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    later = before(Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()))
+    carried = (
+        df.groupBy(*keys, CHUNK)
+        .agg(F.min(value).alias("_chunk_min"))
+        .select(*(F.col(k).alias(f"_of_{k}") for k in (*keys, CHUNK)), F.min("_chunk_min").over(later).alias("_carry"))
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, CHUNK)]
+    return (
+        df.withColumn("_local", F.min(value).over(onward))
+        .join(carried, same, "left")
+        .select(*df.columns, F.least("_local", "_carry").alias(out))
+    )
+
+
 def join_across_chunks(
     pieces: DataFrame,
     keys: Sequence[str],

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickmill.functions.time import chunk_of, seconds_between
-from wickmill.operators.ordered import CHUNK, join_across_chunks, up_to
+from wickmill.functions.time import seconds_between
+from wickmill.operators.ordered import CHUNK, CHUNK_ROWS, join_across_chunks, least_ahead, up_to, with_bounded_chunk
 
 # Alert name, metric, threshold the value must exceed, minutes it must hold.
 ALERT_RULES = (
@@ -40,17 +40,16 @@ def with_rules(samples: DataFrame, rules: Sequence[tuple] = ALERT_RULES) -> Data
     return samples.select("*", F.inline(of_metric))
 
 
-def sustained_alerts(samples: DataFrame, rules: Sequence[tuple] = ALERT_RULES) -> DataFrame:
+def sustained_alerts(samples: DataFrame, rules: Sequence[tuple] = ALERT_RULES, rows: int = CHUNK_ROWS) -> DataFrame:
     """Stretches of samples (metric, ts, value) above a rule's threshold for at least its minutes.
 
-    Runs of equal state are cut per hour; the first and last run of an hour are then joined across
-    hours, so a long series never meets in one task sample by sample.
+    Runs of equal state are cut per hour, and within an hour of more than ``rows`` samples by their number; the first and
+    last run of a slice are then joined across slices, so neither a long nor a dense series meets in one task.
     """
     keys = ["alert", "metric"]
-    state = (
-        with_rules(samples, rules)
-        .withColumn("holds", F.col("value") > F.col("threshold"))
-        .withColumn(CHUNK, chunk_of("ts", SLICE_SECONDS))
+    watched = samples.where(F.col("metric").isin(sorted({rule[1] for rule in rules})))
+    state = with_rules(with_bounded_chunk(watched, ["metric"], "ts", SLICE_SECONDS, rows), rules).withColumn(
+        "holds", F.col("value") > F.col("threshold")
     )
     window = Window.partitionBy(*keys, CHUNK).orderBy("ts")
     changed = ~F.col("holds").eqNullSafe(F.lag("holds").over(window))
@@ -92,30 +91,26 @@ def sustained_alerts(samples: DataFrame, rules: Sequence[tuple] = ALERT_RULES) -
     return merged.where(F.col("holds") & long_enough).drop("holds")
 
 
-def growth_rate(samples: DataFrame, window_seconds: int = GROWTH_WINDOW_SECONDS) -> DataFrame:
+def growth_rate(samples: DataFrame, window_seconds: int = GROWTH_WINDOW_SECONDS, rows: int = CHUNK_ROWS) -> DataFrame:
     """Change per minute between the oldest and newest sample of a trailing window.
 
-    Rows are windowed per (metric, hour). The tail of each hour is copied into the next one as
-    context, which keeps the trailing window whole at the edge; copies are dropped afterwards.
-    Null where the window holds a single sample.
+    Each sample asks for the first sample at or after the window's start. Questions and samples are ordered together in
+    slices of an hour, or of ``rows`` rows where an hour holds more; a question that its slice cannot answer takes the first
+    sample of a later one. So no sample is copied into other slices, however dense the series. Of samples of one time
+    the least value counts as the oldest. Null where the window holds a single time; samples without a time are left out.
     """
-    own = chunk_of("ts", SLICE_SECONDS)
-    to_end = (own + SLICE_SECONDS) * 1_000_000 - F.unix_micros("ts")
-    slices = F.when(to_end <= window_seconds * 1_000_000, F.array(own, own + SLICE_SECONDS)).otherwise(F.array(own))
-    sliced = samples.withColumn(CHUNK, F.explode(slices))
-    trailing = (
-        Window.partitionBy("metric", CHUNK)
-        .orderBy(F.unix_micros("ts"))
-        .rangeBetween(-window_seconds * 1_000_000, Window.currentRow)
+    sample = F.struct("ts", "value")
+    start = F.timestamp_micros(F.unix_micros("ts") - window_seconds * 1_000_000)
+    roles = F.array(
+        F.struct(F.col("ts").alias("_at"), sample.alias("_sample")),
+        F.struct(start.alias("_at"), F.when(F.lit(False), sample).alias("_sample")),
     )
-    minutes = seconds_between("_first_ts", "ts") / F.lit(60.0)
+    both = samples.where(F.col("ts").isNotNull()).select("*", F.inline(roles))
+    chunked = with_bounded_chunk(both, ["metric"], "_at", SLICE_SECONDS, rows)
+    first_ts, first_value = F.col("_first.ts"), F.col("_first.value")
+    minutes = seconds_between(first_ts, "ts") / F.lit(60.0)
     return (
-        sliced.withColumn("_first_ts", F.first("ts").over(trailing))
-        .withColumn("_first_value", F.first("value").over(trailing))
-        .where(F.col(CHUNK) == own)
-        .withColumn(
-            "growth_per_minute",
-            F.when(F.col("_first_ts") < F.col("ts"), (F.col("value") - F.col("_first_value")) / minutes),
-        )
-        .drop("_first_ts", "_first_value", CHUNK)
+        least_ahead(chunked, ["metric"], "_at", F.col("_sample"), "_first")
+        .where(F.col("_sample").isNull())
+        .select(*samples.columns, F.when(first_ts < F.col("ts"), (F.col("value") - first_value) / minutes).alias("growth_per_minute"))
     )
