@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from wickmill.functions.once import computed_once
 from wickmill.functions.time import chunk_of
 from wickmill.timeframes import DAY_SECONDS
 
@@ -82,12 +83,19 @@ def running_max(
     ``inclusive`` counts the row itself; otherwise only the rows before it.
     """
     window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    local = up_to(window) if inclusive else before(window)
+    upto = df.withColumn("_upto", F.max(value).over(up_to(window)))
+    local = F.col("_upto") if inclusive else F.max(value).over(before(window))
+    # The last row of a chunk knows the chunk's maximum. Looking for a next row with all columns makes this branch ask for the
+    # same exchange as the rows themselves, and filters on join keys are not pushed through a generator: it runs once.
+    ends = upto.withColumn("_next", F.lead(F.struct(*df.columns)).over(window)).where(F.col("_next").isNull())
+    earlier = before(Window.partitionBy(*keys).orderBy(CHUNK))
+    last = computed_once(ends, [], F.struct(*keys, CHUNK, "_upto"))
+    carried = last.select(*keys, CHUNK, F.max("_upto").over(earlier).alias("_carry"))
     return (
-        df.withColumn("_local", F.max(value).over(local))
-        .join(carried_max(df, keys, value, "_carry"), [*keys, CHUNK], "left")
+        upto.withColumn("_local", local)
+        .join(carried, [*keys, CHUNK], "left")
         .withColumn(out, F.greatest("_local", "_carry"))
-        .drop("_local", "_carry")
+        .drop("_local", "_carry", "_upto")
     )
 
 
