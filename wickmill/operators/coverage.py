@@ -208,9 +208,13 @@ def inner_gaps(
     """Uncovered stretches between the first and last covered time of each key.
 
     A range opens a stretch when it starts beyond the margin after every earlier end, so the running
-    maximum of ends is enough: the ranges need not be merged first.
+    maximum of ends is enough: the ranges need not be merged first. Ranges without a key have no stretches.
     """
-    rows = ranges.select(*keys, START, END) if distinct_starts else _folded(ranges, keys)
+    # Said ahead of the windows, so that a later join on the keys adds no filter to one of two equal branches alone.
+    keyed = ranges
+    for key in keys:
+        keyed = keyed.where(F.col(key).isNotNull())
+    rows = keyed.select(*keys, START, END) if distinct_starts else _folded(keyed, keys)
     return (
         with_previous_end(rows, keys)
         .where(F.col(START) > shift("previous_end", margin_seconds))
