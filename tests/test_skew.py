@@ -172,6 +172,16 @@ def test_a_hot_day_of_ranges_equals_the_plain_window(spark):
     assert sorted(map(tuple, islands.collect())) == sorted(map(tuple, whole.select(*islands.columns).collect()))
 
 
+def test_running_maxima_scan_their_input_once(spark, skewed, tmp_path):
+    skewed.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    for df in (C.with_step(rows), C.with_block_id(rows)):
+        assert len(df.collect()) == rows.count()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("FileScan") == 1
+        assert "ReusedExchange" in final
+
+
 def test_copies_of_one_key(spark):
     """A key with 50,000 copies is one partial row per task after the map side."""
     rows = spark.range(50_000).select(
