@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wickmill.functions.failures import error_category
 from wickmill.functions.time import from_epoch_ms
+from wickmill.operators.messages import message_report
 from wickmill.plans.refresh import base_path, merge_staged, staging_path
 from wickmill.schemas import CANDLE_COLUMNS
 from wickmill.sources.klines import parse_klines
@@ -93,3 +94,9 @@ def test_an_export_leaves_the_session_setting_as_it_was(spark, folder):
         assert spark.conf.get(key) == "INT96"
     finally:
         spark.conf.set(key, before)
+
+
+def test_an_actor_without_any_time_has_no_age(spark):
+    texts = ["{broken", '{"actor_name":"a","message_timestamp":1000}', '{"actor_name":"b"}']
+    report = message_report(spark.createDataFrame([(t,) for t in texts], "value string"), datetime(1970, 1, 1, 0, 1, tzinfo=timezone.utc))
+    assert {r.actor_name: (r.messages, r.oldest_age_seconds) for r in report.collect()} == {None: (1, None), "a": (1, 59.0), "b": (1, None)}
