@@ -30,13 +30,11 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     Needs ``value``; other columns (page id, asset) are kept.
     """
     keep = [c for c in pages.columns if c != "value"]
-    rows = F.from_json("value", PAGE_TYPE)
-    exploded = pages.withColumn("_rows", rows).select(
-        *keep,
-        F.col("_rows").isNull().alias("_unreadable"),
-        may_hold_foreign(F.col("value")).alias("_suspect"),
-        F.posexplode_outer("_rows").alias("arrival_seq", "_k"),
-    )
+    # What looks at a whole page stands ahead of the generator: behind it, it would be done for every kline, and the text go with each.
+    read = pages.select(
+        *keep, F.from_json("value", PAGE_TYPE).alias("_rows"), may_hold_foreign(F.col("value")).alias("_suspect")
+    ).withColumn("_unreadable", F.col("_rows").isNull())
+    exploded = read.select(*keep, "_unreadable", "_suspect", F.posexplode_outer("_rows").alias("arrival_seq", "_k"))
     elements = [F.get("_k", F.lit(i)) for i in range(MIN_ELEMENTS)]
     cells = F.struct(
         F.size("_k").alias("_size"),
