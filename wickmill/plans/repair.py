@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickmill.functions.time import day_of, shift
@@ -78,20 +78,21 @@ class Written:
 
     base: list[Part]
     staged: list[Part]
+    # Number of unique rows, stored before or not.
+    rows: int = 0
 
 
 def write_by_age(
-    spark: SparkSession, root: str, rows: DataFrame, as_of: datetime, arrival: str, kept: Observation | None = None
+    spark: SparkSession, root: str, rows: DataFrame, as_of: datetime, arrival: str
 ) -> Written:
-    """First-wins insert of recent rows into the base and of old rows into staging; ``kept`` observes the number of unique ``rows``."""
+    """First-wins insert of recent rows into the base and of old rows into staging."""
     unique = dedup_first(rows.select(*CANDLE_COLUMNS, arrival), arrival=arrival).drop(arrival)
-    if kept is not None:
-        unique = unique.observe(kept, F.count(F.lit(1)).alias("rows"))
     # Read by up to three jobs; a lost cached block is computed again from its source.
     unique = unique.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        found = with_part(with_target(unique, as_of)).select("target", "day", "slot").distinct().collect()
-        written = Written(*(sorted(Part(r.day, r.slot) for r in found if r.target == t) for t in ("base", "staging")))
+        found = with_part(with_target(unique, as_of)).groupBy("target", "day", "slot").agg(F.count("*").alias("n")).collect()
+        parts = (sorted(Part(r.day, r.slot) for r in found if r.target == t) for t in ("base", "staging"))
+        written = Written(*parts, sum(r.n for r in found))
         live, old = split_by_age(unique, as_of)
         append_absent(spark, live, base_path(root), written.base)
         append_absent(spark, old, staging_path(root), written.staged)

@@ -5,7 +5,8 @@ and a replayed batch adds no row, so at-least-once delivery gives exactly one ro
 dropped for lateness; there is no watermark here. Tiers and coverage follow by ``plans.refresh.refresh_touched``, a job of its own schedule:
 it rebuilds each touched part once, however many batches touched it.
 
-A batch's counters are observed in the passes that run anyway and stored per day.
+A batch's counters are counted over its cached rows and stored per day. They are not observed: where several executors compute the same
+cached block, an observation counts its rows once for each.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,7 +25,7 @@ from wickmill.plans.refresh import note_touched
 from wickmill.plans.repair import write_by_age
 from wickmill.schemas import ASSET, AUDIT, EVENT
 from wickmill.session import configure
-from wickmill.sources.klines import MALFORMED, good_events, parse_klines, rejected_messages
+from wickmill.sources.klines import good_events, parse_klines, rejected_messages
 from wickmill.sources.tables import drop_files, take_files
 from wickmill.timeframes import as_utc
 
@@ -75,21 +76,21 @@ def ingest_messages(
     if arrival is None:
         arrival = F.struct(*(c for c in ("landed",) if c in messages.columns), F.monotonically_increasing_id().alias("position"))
     numbered = messages.select("value", arrival.alias(ARRIVAL))
-    seen, outcomes, kept = (Observation(f"{name}-{batch_id}") for name in ("messages", "outcomes", "kept"))
-    parsed = parse_klines(numbered, received_at=F.lit(as_of))
-    parsed = parsed.observe(seen, _count(F.col("kind") == MALFORMED, "refused")).persist(StorageLevel.MEMORY_AND_DISK)
-    classified = classify_events(good_events(parsed), assets, target.exchange)
-    classified = classified.observe(outcomes, *_outcome_counts()).persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = parse_klines(numbered, received_at=F.lit(as_of)).persist(StorageLevel.MEMORY_AND_DISK)
+    classified = classify_events(good_events(parsed), assets, target.exchange).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        # Fills both caches in one pass; a first job over both would compute the parsed rows twice.
+        outcomes = {r.outcome: r.n for r in classified.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+        refused_rows = rejected_messages(parsed).count()
         refused = rejected_messages(parsed).select("value", F.col("reject_reason").alias("outcome"))
         kept_out = quarantined(classified).select(
             F.to_json(F.struct(*EVENT.fieldNames())).alias("value"), "outcome"
         )
         batch = F.lit(batch_id).cast("bigint").alias("batch_id")
         _overwrite(refused.unionByName(kept_out).select("*", batch), target.quarantine, "batch_id")
-        written = write_by_age(spark, target.root, accepted(classified), as_of, ARRIVAL, kept)
+        written = write_by_age(spark, target.root, accepted(classified), as_of, ARRIVAL)
         note_touched(spark, target.root, written.base, f"batch-{batch_id}")
-        counters = batch_counters(seen.get, outcomes.get, kept.get)
+        counters = batch_counters(outcomes, refused_rows, written.rows)
         row = (as_utc(as_of).date(), batch_id, *(counters[name] for name in AUDIT.fieldNames()[2:]))
         counted = spark.createDataFrame([row], AUDIT).withColumn("part", F.lit(f"batch-{batch_id}"))
         _overwrite(counted.coalesce(1), target.audit, "day", "part")
@@ -98,29 +99,16 @@ def ingest_messages(
         parsed.unpersist()
 
 
-def _count(condition: Column, name: str) -> Column:
-    return F.count_if(condition).alias(name)
-
-
-def _outcome_counts() -> list[Column]:
-    """What is counted where messages are classified."""
-    outcome = F.col("outcome")
-    rejected = outcome.startswith("rejected:")
-    return [
-        _count(~rejected, "received"),
-        _count(rejected, "rejected"),
-        *(_count(outcome == name, name) for name in ("unmapped", "inactive", "accepted")),
-    ]
-
-
-def batch_counters(seen: dict, outcomes: dict, kept: dict) -> dict[str, int]:
+def batch_counters(outcomes: dict[str, int], refused: int, unique: int) -> dict[str, int]:
     """Counters of one batch. What the parser refuses counts as rejected; copies of a key inside the batch as duplicate."""
+    rejected = sum(n for outcome, n in outcomes.items() if outcome.startswith("rejected:"))
     return {
         "batches": 1,
-        **{name: outcomes.get(name, 0) for name in ("received", "unmapped", "inactive")},
-        "rejected": outcomes.get("rejected", 0) + seen.get("refused", 0),
-        "duplicate": outcomes.get("accepted", 0) - kept.get("rows", 0),
-        "persisted": kept.get("rows", 0),
+        "received": sum(outcomes.values()) - rejected,
+        **{name: outcomes.get(name, 0) for name in ("unmapped", "inactive")},
+        "rejected": rejected + refused,
+        "duplicate": outcomes.get("accepted", 0) - unique,
+        "persisted": unique,
     }
 
 
