@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tests.helpers import BASE, at
+from tests.helpers import BASE, at, candle_rows, candles
 from wickmill.operators import coverage as C
 from wickmill.operators.dedup import dedup_first
 from wickmill.operators.ingest import hot_keys, page_order
 from wickmill.operators.ordered import CHUNK, with_bounded_chunk, with_time_chunk
+from wickmill.operators.rollup import all_tiers
 from wickmill.operators.series import growth_rate, sustained_alerts
 
 ROWS = 90_000
@@ -205,3 +206,15 @@ def test_order_check_over_a_huge_page(spark, skewed):
     assert [r.disordered for r in page_order(page).collect()] == [False]
     late = page.withColumn("timestamp", F.when(F.col("arrival_seq") == 80_001, F.lit(BASE)).otherwise(F.col("timestamp")))
     assert [r.disordered for r in page_order(late).collect()] == [True]
+
+
+def test_tiers_are_cut_finely_whatever_the_session_says(spark):
+    """Each tier is folded in a table of its own in the same task, so few shuffle partitions would make a task's memory grow with the input."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        plan = all_tiers(candles(spark, candle_rows(range(3))))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    exchanges = re.findall(r"hashpartitioning\(.*, (\d+)\)", plan)
+    assert exchanges and set(exchanges) == {"240"}
