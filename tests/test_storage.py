@@ -196,3 +196,18 @@ def test_quarantine_keeps_reasons(spark, folder):
 def test_scratch_follows_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert scratch_dir(spark, "x").startswith(shared) and scratch_dir(spark, "x") != scratch_dir(spark, "x")
+
+
+def test_exports_are_dealt_by_number_and_replaced_when_run_again(spark, folder):
+    """Many small exports are the work of many tasks; a request that is exported again is replaced, others stay."""
+    rows = [row for asset in range(40) for row in candle_rows(range(3), asset_id=asset)]
+    jobs = spark.createDataFrame(
+        [(f"j{a}", a, "1m", at(0), at(9)) for a in range(40)], "job_id string, asset_id int, timeframe string, start_time timestamp, end_time timestamp"
+    )
+    export_requests(candles(spark, rows), jobs, folder, "1m")
+    files = glob.glob(f"{folder}/exports/*/*/*/*.parquet")
+    assert len(files) == 40
+    assert len({f.rsplit("/", 1)[1].split("-")[1] for f in files}) > 20
+    export_requests(candles(spark, candle_rows(range(2), asset_id=7)), jobs, folder, "1m")
+    counts = {r.job_id: r["count"] for r in spark.read.parquet(f"{folder}/exports").groupBy("job_id").count().collect()}
+    assert counts == {**{f"j{a}": 3 for a in range(40)}, "j7": 2}
