@@ -27,6 +27,7 @@ from wickmill.llm import (
     near_dups,
     pseudonyms,
     quality_rules,
+    queries,
     secret_scan,
 )
 
@@ -418,6 +419,33 @@ def test_line_links_and_verdicts_equal_brute_force(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in kept.values())
 
 
+def test_links_of_lines_of_any_length_equal_brute_force(spark):
+    """Lines below MIN_BYTES count their links too, down to one byte; such links drop nothing."""
+    rng = random.Random(11)
+    pool = ["".join(rng.choices("abé ", k=rng.randrange(1, 12))) for _ in range(90)]
+    pool += ["".join(rng.choices("abcdefgé ", k=rng.randrange(12, 52))) for _ in range(30)]
+    pool += [x[: rng.randrange(len(x))] + "z" + x[rng.randrange(len(x)) :] for x in pool] + [x + "y" for x in pool] + [x[1:-1] for x in pool]
+    texts = ["\n".join(rng.sample(pool, 9)) for _ in range(80)]
+    first, rows = {}, []
+    for d, t in enumerate(texts):
+        for n, line in enumerate(t.split("\n"), 1):
+            if line.strip(" ") or len(line.encode()) >= 48:
+                first.setdefault(line, (d, n))
+                rows.append((d, n, line))
+    near = {x: [y for y in first if y != x and edits(x.encode(), y.encode()) <= line_dedup.EDITS] for x in first}
+    drops = {x: [y for y in near[x] if min(len(x.encode()), len(y.encode())) >= 48] for x in first}
+    wanted = {(d, n): (len(near[x]), first[x] == (d, n) and all(first[y] > first[x] for y in drops[x])) for d, n, x in rows}
+    got = line_dedup.judge_lines(frame(spark, texts), short_links=True).collect()
+    assert {(r["doc_id"], r["line_no"]): (r["n_links"], r["kept"]) for r in got} == wanted
+    assert {len(x.encode()) for x in first if near[x]} >= {1, 2, 3, 4, 5, 8, 12}
+
+
+def test_op6_counts_links_of_short_lines(spark, tmp_path):
+    frame(spark, ["a short line.\nok", "a short line!\nsomething else"]).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["line_no"], r["n_links"], r["kept"]) for r in rows) == [(0, 1, 1, True), (0, 2, 0, True), (1, 1, 1, True), (1, 2, 0, True)]
+
+
 def test_stage_drops_exact_copies_of_short_lines(spark):
     long = "a line of the text that is long enough for two edits"
     texts = [f"And so it ends.\n\n{long}\nOk", f"first\nAnd so it ends.\n\n{long}!\nAnd so it ends", "ok\nAnd so it ends.", "Ok\nAnd so it ends.", None]

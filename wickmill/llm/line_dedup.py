@@ -3,8 +3,9 @@
 Lines are the ``\\n``-split parts of a text that have a word or at least ``MIN_BYTES`` bytes. Equal
 lines form a class, whose place is its first (doc_id, line number). Two classes of lines of ``MIN_BYTES`` or more are linked when their lines are
 at most ``EDITS`` edits (insert, delete, replace one byte of UTF-8) apart; in shorter lines so many edits may change the words, so
-they are compared for equality only. With ``short_copies=False`` shorter lines are never touched. A line is kept when it stands at its class's place and no linked
-class has an earlier place.
+they are dropped for equality only. With ``short_links=True`` shorter lines are linked too, so every pair is counted; such links tell and do not
+drop. With ``short_copies=False`` shorter lines are never touched. A line is kept when it stands at its class's place and no class that
+is linked and, like its own, of ``MIN_BYTES`` or more has an earlier place.
 
 The join: every line is cut into ``EDITS + 1`` segments of even length, one of which survives any ``EDITS`` edits whole. Segments are
 indexed under (line length, segment number, bytes). Each line probes, for its own length and each shorter one within reach, the
@@ -172,11 +173,12 @@ def _probing(classes: DataFrame, edits: int, *columns: str, own: bool = True) ->
 
 
 def similar_lines(classes: DataFrame, edits: int = EDITS) -> DataFrame:
-    """a, b, first_a, first_b: every pair of different lines at most ``edits`` apart, once. ``classes`` is a written table.
+    """a, b, first_a, first_b, shorter (bytes): every pair of different lines at most ``edits`` apart, once. ``classes`` is a written table.
 
     The big join only tells which lines have a candidate, a row per probe at most. A line's own segments are index and probe at once:
     they are sent once and meet each other there. Lines that have a candidate are
-    joined again with their texts, and verified inside that join, so pairs that fail are never written.
+    joined again with their texts, and verified inside that join, so pairs that fail are never written. Lines may be of any length from one
+    byte on: of shorter ones than ``edits + 1`` some segments are empty, and meet all lines of their length.
     """
 
     def near(letters: int) -> Column:
@@ -208,6 +210,7 @@ def similar_lines(classes: DataFrame, edits: int = EDITS) -> DataFrame:
         F.least("of_id", "id").alias("b"),
         F.when(up, F.col("of_first")).otherwise(F.col("first")).alias("first_a"),
         F.when(up, F.col("first")).otherwise(F.col("of_first")).alias("first_b"),
+        F.least("of_n", "n").alias("shorter"),
     ).distinct()
 
 
@@ -215,13 +218,18 @@ def _digests(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
 
 
-def judge_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES, short_copies: bool = True) -> DataFrame:
+def judge_lines(
+    docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES, short_copies: bool = True, short_links: bool = False
+) -> DataFrame:
     """doc_id, line_no, class_doc, class_line, copies, n_links, kept: a row per line that ``lines_of`` takes."""
     lines = lines_of(docs, min_bytes, short_copies)
     classes = stored(line_classes(lines), "line-classes", compression="zstd")
-    links = stored(similar_lines(classes.where(F.col("n") >= min_bytes), edits), "line-links")
-    both = links.select(F.col("a").alias("id"), F.col("first_b").alias("other")).unionByName(
-        links.select(F.col("b").alias("id"), F.col("first_a").alias("other"))
+    linkable = classes if short_links else classes.where(F.col("n") >= min_bytes)
+    links = stored(similar_lines(linkable, edits), "line-links")
+    # A link of a shorter line is counted, but drops nothing.
+    drops = F.col("shorter") >= min_bytes
+    both = links.select(F.col("a").alias("id"), F.when(drops, F.col("first_b")).alias("other")).unionByName(
+        links.select(F.col("b").alias("id"), F.when(drops, F.col("first_a")).alias("other"))
     )
     linked = stored(both.groupBy("id").agg(F.count("*").alias("n_links"), F.min("other").alias("other")), "linked-lines")
     told = stored(
@@ -275,9 +283,8 @@ SQL = f"""
     ), classes AS (
       SELECT line, strlen(line) AS n, min(here) AS first, count(*) AS copies FROM long_lines GROUP BY line
     ), links AS (
-      SELECT x.line, y.first AS other
-      FROM classes x JOIN classes y ON x.n >= {MIN_BYTES} AND y.n >= {MIN_BYTES} AND abs(x.n - y.n) <= {EDITS} AND x.first <> y.first
-         AND levenshtein(x.line, y.line) <= {EDITS}
+      SELECT x.line, CASE WHEN x.n >= {MIN_BYTES} AND y.n >= {MIN_BYTES} THEN y.first END AS other
+      FROM classes x JOIN classes y ON abs(x.n - y.n) <= {EDITS} AND x.first <> y.first AND levenshtein(x.line, y.line) <= {EDITS}
     ), linked AS (
       SELECT line, count(*) AS n_links, min(other) AS other FROM links GROUP BY line
     )
