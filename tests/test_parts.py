@@ -227,6 +227,23 @@ def test_repair_from_pages_keeps_its_ledger(spark, folder):
     assert {r.status for r in read_ledger(spark, refresh_ledger(folder), REFRESH_JOB).collect()} == {"completed"}
 
 
+def test_pages_are_made_once_for_the_quarantine_and_not_for_the_ledger(spark, folder):
+    """What makes the pages may be costly; refused ones are read back for the states of their jobs."""
+    write_candles(candles(spark, candle_rows([0, 9])), base_path(folder))
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(start):
+        made.add(1)
+        return start
+
+    pages = spark.createDataFrame([page("a", range(0, 5)), page("b", range(5, 10), text="{}")], PAGES)
+    counted = F.udf(seen, "timestamp").asNondeterministic()
+    jobs = repair_from_pages(spark, folder, assets(spark).where("id = 1"), pages.withColumn("page_start", counted("page_start")), at(9.5), "run-1")
+    failed = jobs.where("status = 'failed'").collect()
+    assert [r.error_message for r in failed] == ["PayloadCorruptionError: not_a_page"]
+    assert made.value <= 2
+
+
 def test_a_run_that_died_is_taken_over_after_its_lease(spark, folder):
     write_candles(candles(spark, candle_rows([0, 9])), base_path(folder))
     row = (5, 1, "BTCUSDT", at(0), at(9), "processing", 0, 5, None, None, at(10), at(9))

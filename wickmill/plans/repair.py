@@ -202,14 +202,17 @@ def repair_from_pages(
     parsed = parse_pages(pages.select(*PAGE, "value")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         judged = judge_pages(parsed, PAGE).persist(StorageLevel.MEMORY_AND_DISK)
-        refused = pages.join(judged.where("refused is not null"), list(PAGE))
+        bad = judged.where("refused is not null")
+        found = pages.join(bad, list(PAGE)).withColumn("run", F.lit(run))
         (
-            refused.withColumn("run", F.lit(run))
-            .write.mode("overwrite")
+            found.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("run")
             .parquet(page_quarantine(root))
         )
+        # Read back, so that what made the page texts is not run again for every state that is logged.
+        stored = spark.read.schema(found.schema).parquet(page_quarantine(root)).where(F.col("run") == run)
+        refused = stored.drop("run").join(bad.select(*PAGE), list(PAGE), "left_semi")
         written = write_by_age(spark, root, rows_for_gaps(taken_pages(parsed, judged, PAGE), jobs), as_of, "arrival_seq")
         note_touched(spark, root, written.base, run)
         failures = failed_by_pages(jobs, refused)
