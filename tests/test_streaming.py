@@ -12,6 +12,7 @@ from wickmill.operators import coverage as C
 from wickmill.operators.rollup import rollup
 from wickmill.plans.refresh import base_path, read_coverage, refresh_touched, staging_path
 from wickmill.schemas import CANDLE, OHLCV
+from wickmill.session import configure
 from wickmill.sources.klines import stream_messages
 from wickmill.sources.tables import read_candles
 from wickmill.streaming.live import LiveTarget, read_audit, start_live_ingest
@@ -39,6 +40,12 @@ def target_of(spark, folder):
     return target
 
 
+def test_no_method_is_too_long_to_be_compiled(spark):
+    """A micro-batch session, too, leaves steps whose method the Java machine would only interpret to their operators."""
+    for session in (spark, configure(spark.newSession())):
+        assert int(session.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 def run(spark, folder, target, as_of, checkpoint="checkpoint", files=1):
     stream = stream_messages(spark, f"{folder}/in", files_per_trigger=files)
     start_live_ingest(stream, target, f"{folder}/{checkpoint}", clock=lambda: as_of, available_now=True).awaitTermination()
