@@ -15,6 +15,7 @@ from wickmill.operators.ingest import hot_keys, page_order
 from wickmill.operators.ordered import CHUNK, with_bounded_chunk, with_time_chunk
 from wickmill.operators.rollup import all_tiers
 from wickmill.operators.series import growth_rate, sustained_alerts
+from wickmill.session import INITIAL_PARTS, configure
 
 ROWS = 90_000
 
@@ -218,3 +219,19 @@ def test_tiers_are_cut_finely_whatever_the_session_says(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     exchanges = re.findall(r"hashpartitioning\(.*, (\d+)\)", plan)
     assert exchanges and set(exchanges) == {"240"}
+
+
+def test_a_session_with_more_parts_keeps_them(spark):
+    """Beyond 240 x 8 MB of shuffle a part grows with the input unless the session may ask for more parts."""
+    before = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", INITIAL_PARTS)}
+    found = []
+    try:
+        for parts, initial in (("500", "240"), ("8", "700"), ("8", "240")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set(INITIAL_PARTS, initial)
+            plan = all_tiers(candles(configure(spark), candle_rows(range(3))))._jdf.queryExecution().executedPlan().toString()
+            found.append(set(re.findall(r"hashpartitioning\(.*, (\d+)\)", plan)))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert found == [{"500"}, {"700"}, {"240"}]
