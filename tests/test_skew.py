@@ -235,3 +235,14 @@ def test_a_session_with_more_parts_keeps_them(spark):
         for key, value in before.items():
             spark.conf.set(key, value)
     assert found == [{"500"}, {"700"}, {"240"}]
+
+
+def test_a_task_reads_sixteen_megabytes(spark, folder):
+    """What a task reads is folded ahead of the first exchange, in a table that grows with the rows of the split."""
+    spark.range(0, 3_000_000, 1, 1).write.option("compression", "none").parquet(f"{folder}/t")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        parts = configure(spark).read.parquet(f"{folder}/t").rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert parts == 2
