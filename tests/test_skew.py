@@ -8,14 +8,15 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tests.helpers import BASE, at, candle_rows, candles
+from tests.helpers import BASE, at, candle_rows, candles, minutes_of
 from wickmill.operators import coverage as C
-from wickmill.operators.dedup import dedup_first
+from wickmill.operators.dedup import absent_rows, dedup_first
 from wickmill.operators.ingest import hot_keys, page_order
 from wickmill.operators.ordered import CHUNK, with_bounded_chunk, with_time_chunk
 from wickmill.operators.rollup import all_tiers
 from wickmill.operators.series import growth_rate, sustained_alerts
 from wickmill.session import INITIAL_PARTS, configure
+from wickmill.sources.tables import read_candles, write_candles
 
 ROWS = 90_000
 
@@ -246,3 +247,12 @@ def test_a_task_reads_sixteen_megabytes(spark, folder):
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
     assert parts == 2
+
+
+def test_an_insert_broadcasts_no_stored_keys(spark, folder):
+    """The planner judges stored keys by their compressed files; a broadcast of them is whole in every task."""
+    write_candles(candles(spark, candle_rows(range(5))), folder)
+    absent = absent_rows(candles(spark, candle_rows(range(3, 8))), read_candles(spark, folder))
+    plan = absent._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert minutes_of(absent, "timestamp") == [(5,), (6,), (7,)]

@@ -58,8 +58,11 @@ def merge_union(base: DataFrame, staged: DataFrame, keys: Sequence[str] = CANDLE
 
 
 def absent_rows(new: DataFrame, existing: DataFrame, keys: Sequence[str] = CANDLE_KEY) -> DataFrame:
-    """Rows of ``new`` whose key is not stored yet."""
-    return new.join(existing.select(*keys), list(keys), "left_anti")
+    """Rows of ``new`` whose key is not stored yet.
+
+    Always sorted and merged: the planner sees the size of compressed files and would broadcast keys that take many times as much in a task.
+    """
+    return new.join(existing.select(*keys).hint("merge"), list(keys), "left_anti")
 
 
 def value_conflicts(new: DataFrame, existing: DataFrame, keys: Sequence[str] = CANDLE_KEY) -> DataFrame:
