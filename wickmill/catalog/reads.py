@@ -136,8 +136,9 @@ def export_request(spark, sf_dir):
 )
 def export_layout(spark, sf_dir):
     root = scratch_dir(spark, "exports")
-    O.export_requests(rollup(I.user_candles(spark, sf_dir), "5m"), _exports(spark, sf_dir), root, "5m")
-    written = spark.read.parquet(f"{root}/exports")
+    requests = _exports(spark, sf_dir)
+    O.export_requests(rollup(I.user_candles(spark, sf_dir), "5m"), requests, root, "5m")
+    written = O.exported_candles(requests, root, "5m")
     key = O.export_key("asset_id", "timeframe", "job_id")
     return written.groupBy(key.alias("object_key")).agg(F.count("*").alias("rows"), F.sum("volume").alias("volume"))
 
